@@ -19,7 +19,9 @@ ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,40 +34,61 @@ from pyspark.sql import functions as F
 
 from .common import materialise, sliced
 
-#: Token pieces are remembered for at most so many distinct words in each worker.
-CACHE = 200_000
+#: Ids are remembered for at most so many distinct words in each worker process.
+CACHE = 1_000_000
 #: Rows of the (partition, queue) offsets up to which they are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
 class WordTokeniser:
-    """Ids of texts, from a tokenizer whose pre-tokens never span a space or line feed.
+    """Ids of texts, from a tokenizer that lower-cases, drops spaces and never joins letters with punctuation or over a space.
 
-    Texts are cut at these two characters and the ids of each part remembered.
+    Texts are cut at spaces and line feeds, and the ids of each part remembered
+    as little-endian 16-bit numbers.  A part of ASCII letters that ends in
+    punctuation is the ids of its letters, then of the punctuation.
     """
 
+    shared: dict[str, WordTokeniser] = {}
+
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core a task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, list[int]] = {}
-
-    def ids(self, text: str) -> list[int]:
-        parts = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        out: list[int] = []
-        extend = out.extend
-        try:
-            for p in parts:
-                extend(cache[p])
-            return out
-        except KeyError:
-            if len(cache) > CACHE:
-                cache.clear()
-            for p in parts:
-                if p not in cache:
-                    cache[p] = self.tokenizer.encode(p, add_special_tokens=False).ids
-            return [i for p in parts for i in cache[p]]
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("token ids need more than 16 bits")
+        self.cache: dict[str, bytes] = {"": b""}
+
+    @classmethod
+    def at(cls, path: str) -> WordTokeniser:
+        """The one of this process."""
+        if path not in cls.shared:
+            cls.shared[path] = cls(path)
+        return cls.shared[path]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        unseen = set().union(*parts).difference(self.cache)
+        new = self._encode(unseen) if unseen else {}
+        full = len(self.cache) >= CACHE
+        self.cache.update(new)
+        out = [b"".join(map(self.cache.__getitem__, p)) for p in parts]
+        if full:
+            for x in new:
+                del self.cache[x]
+        return out
+
+    def _encode(self, unseen: set[str]) -> dict[str, bytes]:
+        split = {}
+        for p in unseen:
+            low = p.lower() if p.isascii() else p
+            stem = low.rstrip(".,!?")
+            split[p] = (stem, low[len(stem) :]) if stem != low and stem.isascii() and stem[-1:].isalpha() else (low, "")
+        need = list({x for pair in split.values() for x in pair}.difference(self.cache))
+        new = {x: array("H", e.ids).tobytes() for x, e in zip(need, self.tokenizer.encode_batch(need, add_special_tokens=False))}
+        find = lambda x: new[x] if x in new else self.cache[x]
+        joined = {p: find(a) + find(b) for p, (a, b) in split.items()}
+        return {x: v for x, v in new.items() if x not in self.cache} | joined
 
 
 def first_tokens(upto: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -156,21 +179,18 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame
     """``(doc_id, source, part, at, n, ids)``: ids as little-endian 16-bit numbers, ``at`` counts the tokens of the source before in the partition."""
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
+    end = np.array([end_id], "<u2").tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = WordTokeniser(tokenizer_path)
-        if t.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("token ids need more than 16 bits")
+        t = WordTokeniser.at(tokenizer_path)
         part, upto = TaskContext.get().partitionId(), {}
         for b in sliced(batches):
-            at, n, ids = [], [], []
-            sources = b.column("source").to_pylist()
-            for s, text in zip(sources, b.column("text").to_pylist()):
-                x = t.ids(text) if text else []
-                x.append(end_id)
+            at, n = [], []
+            ids = [x + end for x in t.ids([x or "" for x in b.column("text").to_pylist()])]
+            for s, x in zip(b.column("source").to_pylist(), ids):
                 at.append(upto.get(s, 0))
-                upto[s] = at[-1] + len(x)
-                n.append(len(x))
-                ids.append(np.array(x, "<u2").tobytes())
+                upto[s] = at[-1] + len(x) // 2
+                n.append(len(x) // 2)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.cast(b.column("source"), pa.string()), pa.array([part] * len(n), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(run, "doc_id long, source string, part long, at long, n long, ids binary")

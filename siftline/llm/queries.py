@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, repetition, simhash, toxicity
+from . import language, mixing, packing, repetition, simhash, substring, suffixes, toxicity
 from .common import read
 
 
@@ -29,6 +29,10 @@ def op3_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op4_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(read(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels").where(_id_hash(4) != 2).select("doc_id", F.col("toxic").alias("label"))
@@ -40,11 +44,15 @@ def op8_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(read(spark, sf_dir, "documents"), with_rest=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_suffix_repetition, op3_simhash_ball, op5_toxicity_mil, op8_systematic_mixing, op10_mixture_packing)}
-SQL = {"op8_systematic_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_suffix_repetition, op3_simhash_ball, op4_seed_extend, op5_toxicity_mil, op8_systematic_mixing, op9_difference_cover, op10_mixture_packing)}
+SQL = {"op9_difference_cover": suffixes.SQL, "op4_seed_extend": substring.SQL, "op8_systematic_mixing": mixing.SQL}
