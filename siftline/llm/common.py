@@ -98,31 +98,29 @@ def rows_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
-def with_rid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, rid)``: ``rid`` orders documents by id.
+def with_rid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """``(doc_id, text, rid[, row])``: ``rid`` orders documents by id; ``row`` is a struct of all other columns.
 
     Where ids are unique and not null, ``rid`` is the id itself and costs no
     shuffle.  Else rows with the same id and text share one ``rid`` (a repeated
     row is the same document), rows with one id and different texts are told
     apart by a hash of the text, and null ids come first.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n, distinct, nulls = _id_figures(d)
-    if n == distinct and not nulls:
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row")] if carry else []))
+    if unique_ids(docs, id_col):
         return d.withColumn("rid", F.col("doc_id"))
     d = d.withColumn("_h", F.xxhash64("text"))
     keys = materialise(
         d.select("doc_id", "_h").distinct().repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("_h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("_h")).withColumn("rid", F.monotonically_increasing_id()), "rid"
     )
     k = keys.select(F.col("doc_id").alias("_i"), F.col("_h").alias("_k"), "rid")
-    return d.join(k, d["doc_id"].eqNullSafe(k["_i"]) & (d["_h"] == k["_k"]), "left").select("doc_id", "text", "rid")
+    return d.join(k, d["doc_id"].eqNullSafe(k["_i"]) & (d["_h"] == k["_k"]), "left").select("doc_id", "text", "rid", *(["row"] if carry else []))
 
 
-def _id_figures(d: DataFrame) -> tuple[int, int, int]:
-    """Rows, distinct ids and null ids.  Distinct ids are counted by grouping, so nothing is gathered."""
-    per = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    r = per.agg(F.sum("n"), F.count("doc_id"), F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0))).first()
-    return r[0] or 0, r[1], r[2] or 0
+def unique_ids(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether no id is null and none comes twice.  Ids are counted by grouping, so nothing is gathered."""
+    per = docs.groupBy(F.col(id_col).cast("long").alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    return not per.where("n > 1 OR i IS NULL").limit(1).count()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, repetition, simhash, substring, suffixes, toxicity
+from . import language, mixing, multiindex, packing, repetition, simhash, site_bayes, substring, suffixes, toxicity
 from .common import read
 
 
@@ -40,6 +40,16 @@ def op5_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(_id_hash(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", F.size("sentences").alias("n_sentences"))
 
 
+def op6_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.search(read(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are sources, and paths are a source's languages; learned from ids whose CRC-32 modulo 5 is not 0."""
+    labels = read(spark, sf_dir, "labels").where(_id_hash(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    return site_bayes.classify(read(spark, sf_dir, "documents"), labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op8_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
@@ -54,5 +64,5 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_suffix_repetition, op3_simhash_ball, op4_seed_extend, op5_toxicity_mil, op8_systematic_mixing, op9_difference_cover, op10_mixture_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_suffix_repetition, op3_simhash_ball, op4_seed_extend, op5_toxicity_mil, op6_inverted_multi_index, op7_site_quality, op8_systematic_mixing, op9_difference_cover, op10_mixture_packing)}
 SQL = {"op9_difference_cover": suffixes.SQL, "op4_seed_extend": substring.SQL, "op8_systematic_mixing": mixing.SQL}

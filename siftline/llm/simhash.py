@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, raw_texts, sliced
+from .common import connected_components, materialise, raw_texts, sliced, unique_ids, with_rid
 
 #: Shingles of which the bits are counted at once.
 CHUNK = 1 << 16
@@ -91,3 +91,13 @@ def components(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 def hex_fingerprint(column: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")
+
+
+def representatives(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have the smallest id of their component; one of rows that repeat an id and text."""
+    d = with_rid(docs, id_col, text_col, carry=True)
+    first = near_duplicates(d, shingle, radius, "rid", "text").where("doc_id = component_id").select(F.col("doc_id").alias("rid")).distinct()
+    kept = d.join(first, "rid", "left_semi")
+    if not unique_ids(docs, id_col):
+        kept = kept.dropDuplicates(["rid"])
+    return kept.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

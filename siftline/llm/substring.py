@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import raw_texts, sliced, with_rid
 from .winnow import anchors, passes, repeated_filter, rolled, stretches
@@ -84,15 +85,15 @@ def first_windows(d: DataFrame, window: int, gram: int) -> tuple[DataFrame, obje
     return firsts.groupBy("rid").agg(F.collect_list("window").alias("firsts")), bitmap
 
 
-def deduplicate(docs: DataFrame, window: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256, spans[, kept])``.
+def deduplicate(docs: DataFrame, window: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, carry: bool = False) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_sha256, spans[, kept][, row])``; ``row``: all columns but the text.
 
     ``spans``: runs ``(start, end)`` of removed words; ``kept``: the other words
     joined by one space, ``kept_sha256`` its hash.
     """
-    d = with_rid(docs, id_col, text_col)
+    d = with_rid(docs, id_col, text_col, carry)
     firsts, bitmap = first_windows(d, window, gram)
-    joined = d.join(firsts.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left").select("doc_id", "text", "firsts")
+    joined = d.join(firsts.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left").select("doc_id", "text", "firsts", *(["row"] if carry else []))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", kind)] + [("kept", pa.string())] * with_text)
 
@@ -133,9 +134,18 @@ def deduplicate(docs: DataFrame, window: int = 20, gram: int = 8, id_col: str =
                 sha.append(hashlib.sha256(out).hexdigest())
                 if with_text:
                     kept.append(out.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w.sizes), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, kind)] + [pa.array(kept, pa.string())] * with_text, schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w.sizes), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, kind)] + [pa.array(kept, pa.string())] * with_text + ([b.column("row")] if carry else []), names=names)
 
-    return joined.mapInArrow(extend, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>" + ", kept string" * with_text)
+    names = schema.names + ["row"] * carry
+    out = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>" + ", kept string" * with_text)
+    return joined.mapInArrow(extend, out.add(joined.schema["row"]) if carry else out)
+
+
+def clean(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the text replaced by the words kept, where some are removed; rows of which nothing is left are dropped."""
+    got = deduplicate(docs, text_col=text_col, carry=True, **options)
+    whole = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))
+    return got.where(whole).select(*[(F.col("kept") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 #: The same removal in DuckDB SQL, with every window compared.

@@ -167,3 +167,13 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, id_col:
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, sentences array<struct<start: long, end: long, score: double>>")
     return d.withColumn("predicted", (F.col("score") >= threshold).cast("int")).select("doc_id", "score", "predicted", "sentences")
+
+
+def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores under ``threshold``, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, text_col):
+            yield b.filter(pa.array([not model or model.score(t or "", threshold)[0] < threshold for t in b.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
