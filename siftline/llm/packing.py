@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, sliced
 
-#: Ids are remembered for at most so many distinct words in each worker process.
+#: Ids are remembered for so many distinct words in each worker process, about 200 MB, unless told otherwise.
 CACHE = 1_000_000
 #: Rows of the (partition, queue) offsets up to which they are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -58,6 +58,7 @@ class WordTokeniser:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("token ids need more than 16 bits")
         self.cache: dict[str, bytes] = {"": b""}
+        self.most = CACHE
 
     @classmethod
     def at(cls, path: str) -> WordTokeniser:
@@ -70,7 +71,7 @@ class WordTokeniser:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         unseen = set().union(*parts).difference(self.cache)
         new = self._encode(unseen) if unseen else {}
-        full = len(self.cache) >= CACHE
+        full = len(self.cache) >= self.most
         self.cache.update(new)
         out = [b"".join(map(self.cache.__getitem__, p)) for p in parts]
         if full:
@@ -175,7 +176,7 @@ def cut(queue: np.ndarray, start: np.ndarray, length: np.ndarray, n: np.ndarray,
     return row, lo - start[row], hi - lo, w, off + lo - a
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cache_words: int = CACHE) -> DataFrame:
     """``(doc_id, source, part, at, n, ids)``: ids as little-endian 16-bit numbers, ``at`` counts the tokens of the source before in the partition."""
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
@@ -183,6 +184,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = WordTokeniser.at(tokenizer_path)
+        t.most = cache_words
         part, upto = TaskContext.get().partitionId(), {}
         for b in sliced(batches):
             at, n = [], []
@@ -196,13 +198,13 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(run, "doc_id long, source string, part long, at long, n long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, max_queues: int = 4096, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, max_queues: int = 4096, with_ids: bool = True, cache_words: int = CACHE) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])`` that fill windows of ``window`` tokens.
 
     Only the last window can be short.  ``ids`` are little-endian 32-bit numbers.
     """
     spark = docs.sparkSession
-    tokens = materialise(tokenise(docs, tokenizer_path, end_id), "tokens")
+    tokens = materialise(tokenise(docs, tokenizer_path, end_id, cache_words), "tokens")
     many = tokens.select("source").distinct().limit(max_queues + 1).count() > max_queues
     name = F.concat(F.lit("bucket"), F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string")) if many else F.col("source")
     sums = materialise(tokens.groupBy(name.alias("queue"), "source", "part").agg(F.sum("n").alias("n")), "queues")
