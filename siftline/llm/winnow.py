@@ -1,7 +1,7 @@
 """Winnowed anchors of symbol sequences, and a bounded filter of repeated ones.
 
 Of every stretch of ``length`` symbols the ``gram``-symbol piece with the
-smallest hash (the leftmost of equals) is the stretch's anchor.  The choice
+smallest upper half of its hash (the leftmost of equals) is the stretch's anchor.  The choice
 depends on the stretch alone, so equal stretches, wherever they are, have equal
 anchors at the same place in them.  A stretch can only occur twice if its
 anchor does.
@@ -45,16 +45,17 @@ def stretches(ends: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
 
 
 def anchors(grams: np.ndarray, starts: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Position of the anchor of each stretch."""
-    span = length - gram + 1
-    value, place, width = grams, np.arange(len(grams), dtype=np.int64), 1
+    """Position of the anchor of each stretch: pieces compare by the upper half of their hash, then by place."""
+    low = np.uint64(0xFFFFFFFF)
+    if len(grams) > int(low):
+        raise ValueError("positions need more than 32 bits")
+    span, width = length - gram + 1, 1
+    value = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     while width < span:
         step = min(width, span - width)
-        left, right = value[:-step], value[step:]
-        take = right < left
-        value, place = np.where(take, right, left), np.where(take, place[step:], place[:-step])
+        value = np.minimum(value[:-step], value[step:])
         width += step
-    return place[starts]
+    return (value[starts] & low).astype(np.int64)
 
 
 def repeated_filter(anchor_counts: DataFrame, max_bits: int = 26, over: tuple[int, ...] = (1,)) -> list[np.ndarray]:
