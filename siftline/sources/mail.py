@@ -3,7 +3,8 @@
 The scan is Spark's own binary file source, so files are listed and split over
 tasks by Spark, and each file is read by one task; a file must stay under 2 GB,
 that source's limit.  A message that can't be read keeps its row, with
-``error`` set, and never fails the job.
+``error`` set, and never fails the job; an empty file holds no message, and
+Spark skips it.
 """
 
 from __future__ import annotations
