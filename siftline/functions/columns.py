@@ -108,7 +108,7 @@ def score(text: Column) -> Column:
 
 
 def split_list(text: Column, separator: str = ";") -> Column:
-    return F.filter(F.transform(F.split(text, separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_artifact(ip: Column, isp: Column, asn: Column) -> Column:
