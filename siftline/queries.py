@@ -14,7 +14,9 @@ from siftline import rules
 from siftline.functions import columns as C
 from siftline.operators import tableview, templates
 from siftline.operators.triage import triage
+from siftline.plans import enrichment as E
 from siftline.plans import relations as R
+from siftline.plans import report
 
 FREE = ", ".join(f"'{x}'" for x in rules.FREEMAIL)
 
@@ -229,3 +231,115 @@ def table_page(spark, sf_dir):
 def reported_senders(spark, sf_dir):
     log = table(spark, sf_dir, "supplier").select(F.concat(F.lit("src"), (F.col("s_suppkey") % 10).cast("string"), F.lit(".example.com")).alias("target")).distinct()
     return tableview.mark_reported(messages(spark, sf_dir).select("seq", C.defang_domain(F.col("from_domain")).alias("value")), log.select(C.defang_domain(F.col("target")).alias("target")), "value").select("seq", "reported", "actions")
+
+
+# Enrichment and report: addresses of the view's wallets and answers of services are made from driver tables by rules.
+
+_PAYMENTS = """SELECT '1Wallet' || cast(o_orderkey % 21 AS string) AS address, 't' || cast(o_orderkey AS string) AS txid, '1Wallet' || cast(o_custkey % 21 AS string) AS payer, '1Peer' || cast(o_custkey % 13 AS string) AS peer,
+  cast(o_orderkey * 7919 % 500000000 AS bigint) AS sent, cast(o_custkey * 104729 % 500000000 AS bigint) AS got, o_orderstatus <> 'P' AS confirmed, 1600000000 + o_orderkey * 61 AS t, o_orderkey AS height FROM {orders}"""
+
+
+@query("WITH p AS (" + _PAYMENTS.format(orders="orders") + """), n AS (SELECT *, got - (CASE WHEN payer = address THEN sent ELSE 0 END) AS net FROM p)
+SELECT address, txid, CASE WHEN confirmed THEN strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') ELSE '' END AS "timestamp", CASE WHEN confirmed THEN height::VARCHAR ELSE '' END AS block_height,
+CASE WHEN net > 0 THEN 'in' WHEN net < 0 THEN 'out' ELSE 'self' END AS direction, (abs(net) // 100000000)::VARCHAR || '.' || lpad((abs(net) % 100000000)::VARCHAR, 8, '0') || ' BTC' AS amount,
+CASE WHEN net > 0 AND payer <> address THEN payer WHEN net < 0 THEN peer ELSE '' END AS counterparty_addresses, confirmed FROM n""")
+def btc_transactions(spark, sf_dir):
+    """Each order is a payment: one input by ``payer``, outputs to the wallet and to a peer."""
+    p = spark.sql(_PAYMENTS, orders=table(spark, sf_dir, "orders"))
+    payload = F.expr("""to_json(named_struct('txid', txid, 'status', named_struct('confirmed', confirmed, 'block_time', t, 'block_height', height),
+      'vin', array(named_struct('prevout', named_struct('scriptpubkey_address', payer, 'value', sent))),
+      'vout', array(named_struct('scriptpubkey_address', address, 'value', got), named_struct('scriptpubkey_address', peer, 'value', 1L))))""")
+    return E.btc_rows(p.select("address", payload.alias("payload"))).select("address", "txid", "timestamp", "block_height", "direction", "amount", "counterparty_addresses", "confirmed")
+
+
+@query("""SELECT 'h' || o_orderkey AS txid, CASE WHEN o_custkey % 3 = 0 THEN 'out' WHEN o_custkey % 3 = 1 THEN 'in' ELSE 'self' END AS direction, o_orderkey % 7 || '.' || lpad((o_custkey % 1000)::VARCHAR, 6, '0') || ' ETH' AS amount,
+CASE WHEN o_custkey % 3 = 0 THEN '0xb' WHEN o_custkey % 3 = 1 THEN '0xc' ELSE '' END AS counterparty_addresses, o_orderstatus = 'F' AS confirmed FROM orders""")
+def eth_transactions(spark, sf_dir):
+    payload = F.expr("""to_json(named_struct('hash', concat('h', o_orderkey), 'from', named_struct('hash', CASE o_custkey % 3 WHEN 0 THEN '0xAA' WHEN 1 THEN '0xC' ELSE '0xd' END),
+      'to', named_struct('hash', CASE o_custkey % 3 WHEN 1 THEN '0xaa' ELSE '0xB' END), 'value', concat(o_orderkey % 7, lpad(o_custkey % 1000, 6, '0'), '000000000001'),
+      'timestamp', '2024-01-01T00:00:00Z', 'status', CASE WHEN o_orderstatus = 'F' THEN 'ok' ELSE 'error' END))""")
+    d = table(spark, sf_dir, "orders").select(F.lit("0xAa").alias("address"), payload.alias("payload"))
+    return E.eth_rows(d).select("txid", "direction", "amount", "counterparty_addresses", "confirmed")
+
+
+@query("""SELECT 'ip' || c_custkey AS ip, CASE WHEN c_nationkey % 4 = 0 THEN '' ELSE 'AS' || c_nationkey END AS asn, CASE WHEN c_custkey % 2 = 0 THEN 'NAME' || c_nationkey WHEN c_nationkey % 4 = 0 THEN '' ELSE 'Net of ' || c_mktsegment END AS as_name,
+c_mktsegment AS isp, '' AS reverse_dns FROM customer WHERE c_custkey % 5 <> 0""")
+def ip_answers(spark, sf_dir):
+    answer = F.expr("""to_json(named_struct('query', concat('ip', c_custkey), 'status', CASE WHEN c_custkey % 5 = 0 THEN 'fail' ELSE 'success' END, 'isp', c_mktsegment,
+      'as', CASE WHEN c_nationkey % 4 = 0 THEN '' ELSE concat('AS', c_nationkey, ' Net of ', c_mktsegment) END, 'asname', CASE WHEN c_custkey % 2 = 0 THEN concat('NAME', c_nationkey) ELSE '' END))""")
+    return E.ip_rows(table(spark, sf_dir, "customer").select(answer.alias("answer")), "2024-01-01").select("ip", "asn", "as_name", "isp", "reverse_dns")
+
+
+_WALLETS = """SELECT '1Wallet' || cast(s_suppkey % 21 AS string) AS address, max(cast(s_nationkey % 3 AS string)) AS tx_count, max('b' || cast(s_nationkey AS string)) AS balance FROM {supplier} WHERE s_suppkey % 4 <> 1 GROUP BY 1"""
+
+
+@query(DUCK + ", w AS (" + _WALLETS.format(supplier="supplier") + """)
+SELECT 'BTC' AS chain, m.btc AS address, count(*) AS times_seen, count(DISTINCT nullif(from_domain, '')) AS distinct_domains, min(seq) AS first_seq, coalesce(any_value(tx_count)::INT, 0) AS tx_count, coalesce(any_value(tx_count)::INT, 0) > 0 AS active, any_value(balance) AS balance
+FROM m LEFT JOIN w ON m.btc = w.address WHERE m.btc <> '' GROUP BY m.btc""")
+def wallet_report(spark, sf_dir):
+    return E.wallet_report(messages(spark, sf_dir), spark.sql(_WALLETS, supplier=table(spark, sf_dir, "supplier"))).select("chain", "address", "times_seen", "distinct_domains", "first_seq", "tx_count", "active", "balance")
+
+
+@query(DUCK + DUCK_IPS + """SELECT m.ip, count(*) AS times_seen, count(DISTINCT nullif(from_domain, '')) AS distinct_domains, coalesce(any_value(asn), '') AS asn, coalesce(any_value(as_name), '') AS as_name, coalesce(any_value(country), '') AS country, false AS artifact
+FROM m LEFT JOIN ips ON m.ip = ips.ip WHERE m.ip <> '' GROUP BY m.ip""")
+def ip_report(spark, sf_dir):
+    facts = ip_table(spark, sf_dir).withColumn("isp", F.col("as_name"))
+    return E.ip_report(messages(spark, sf_dir), facts).drop("isp")
+
+
+@query(DUCK + "SELECT from_domain AS domain, count(*) AS messages FROM m WHERE from_domain <> '' GROUP BY 1 HAVING count(*) >= 3")
+def domain_candidates(spark, sf_dir):
+    return E.candidate_domains(messages(spark, sf_dir), at_least=3)
+
+
+@query(DUCK + EXPLODED + ", known AS (" + _WALLETS.format(supplier="supplier") + ") SELECT kind, value, min(seq) AS first_seq FROM x WHERE kind = 'btc' AND value <> '' AND value NOT IN (SELECT address FROM known) GROUP BY 1, 2")
+def wallet_candidates(spark, sf_dir):
+    known = spark.sql(_WALLETS, supplier=table(spark, sf_dir, "supplier")).withColumnRenamed("address", "value")
+    return E.to_look_up(E.candidates(messages(spark, sf_dir), ["btc", "eth"]), known, "value").select("kind", "value", "first_seq")
+
+
+@query("""WITH o AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE s_name END AS v FROM supplier WHERE s_suppkey % 3 <> 0), n AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'new' END AS v FROM supplier WHERE s_suppkey % 4 <> 0)
+SELECT coalesce(o.k, n.k) AS k, coalesce(nullif(n.v, ''), o.v, '') AS v FROM o FULL JOIN n ON o.k = n.k""")
+def fill_in_rows(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey"))
+    old = s.where("k % 3 <> 0").select("k", F.when(F.col("k") % 2 == 0, "").otherwise(F.col("s_name")).alias("v"))
+    return E.fill_in(old, s.where("k % 4 <> 0").select("k", F.when(F.col("k") % 5 == 0, "").otherwise("new").alias("v")), "k")
+
+
+@query("""WITH o AS (SELECT s_suppkey AS k, s_name AS v, 'note' || s_suppkey AS notes FROM supplier WHERE s_suppkey % 3 <> 0), n AS (SELECT s_suppkey AS k, 'new' AS v FROM supplier WHERE s_suppkey % 4 <> 0)
+SELECT n.k, n.v, coalesce(o.notes, '') AS notes FROM n LEFT JOIN o ON n.k = o.k UNION ALL SELECT o.k, o.v, o.notes FROM o WHERE o.k NOT IN (SELECT k FROM n)""")
+def replaced_rows(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey"))
+    old = s.where("k % 3 <> 0").select("k", F.col("s_name").alias("v"), F.concat(F.lit("note"), "k").alias("notes"))
+    return E.replace_rows(old, s.where("k % 4 <> 0").select("k", F.lit("new").alias("v"), F.lit("").alias("notes")), "k")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, min(event_id) AS seq FROM events GROUP BY 1")
+def last_rows(spark, sf_dir):
+    return E.last_rows(table(spark, sf_dir, "events").select("user_id", "event_type", "value", F.col("event_id").alias("seq")), ["user_id"])
+
+
+@query("""SELECT o_orderkey AS seq, CASE WHEN o_custkey % 6 = 5 THEN 'other' ELSE ['domain', 'ip', 'email', 'url', 'phone'][o_custkey % 6 + 1] END AS target_type,
+CASE o_custkey % 6 WHEN 0 THEN 'a[.]b[.]c' || o_custkey WHEN 1 THEN '1[.]2[.]3[.]4' WHEN 2 THEN 'x.y[@]z[.]w' WHEN 3 THEN 'hxxps[://]q[.]r/s[.]t' WHEN 4 THEN '+1.2' ELSE 'n.m' END AS target FROM orders""")
+def safe_targets(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("r", F.col("o_custkey") % 6)
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("domain", "ip", "email", "url", "phone", "")]), (F.col("r") + 1).cast("int"))
+    target = F.element_at(F.array(F.concat(F.lit("a.b.c"), F.col("o_custkey")), *[F.lit(x) for x in ("1.2.3.4", "x.y@z.w", "https://q.r/s.t", "+1.2", "n.m")]), (F.col("r") + 1).cast("int"))
+    log = o.select(F.col("o_orderkey").alias("reference"), kind.alias("target_type"), target.alias("target"), *[F.lit("").alias(c) for c in ("date", "action", "status", "notes")])
+    return R.actions(log).select(F.col("reference").alias("seq"), "target_type", "target")
+
+
+@query(DUCK + f""", d AS ({DOMAINS.format(supplier="supplier")}), g AS (SELECT CASE WHEN from_domain IN ({FREE}) AND from_addr <> '' THEN lower(trim(from_addr)) ELSE from_domain END AS k, count(*) AS messages, arg_min(from_domain, seq) AS provider, min(seq) AS first_seq FROM m WHERE from_domain <> '' GROUP BY 1)
+SELECT CASE WHEN k LIKE '%@%' THEN split_part(k, '@', 1) || '[@]' || replace(split_part(k, '@', 2), '.', '[.]') ELSE replace(k, '.', '[.]') END AS sender, k LIKE '%@%' AS is_freemail_address, messages, first_seq, coalesce(registrar, '') AS registrar, registrar IS NOT NULL AS enriched FROM g LEFT JOIN d ON provider = domain""")
+def sender_report(spark, sf_dir):
+    return report.domains(messages(spark, sf_dir), spark.sql(DOMAINS, supplier=table(spark, sf_dir, "supplier"))).select("sender", "is_freemail_address", "messages", "first_seq", "registrar", "enriched")
+
+
+@query(DUCK + "SELECT count(*) AS messages, count(*) FILTER (category = 'likely_scam') AS likely_scam, count(DISTINCT nullif(btc, '')) AS wallets, count(*) FILTER (category IN ('likely_scam', 'review') AND id NOT IN (SELECT substr(sha1(cast(doc_id AS string)), 1, 10) FROM labels)) AS untriaged, (SELECT count(*) FROM orders) AS actions, (SELECT count(DISTINCT o_custkey) FROM orders) AS action_targets FROM m")
+def headline_numbers(spark, sf_dir):
+    dims = {
+        "wallet_enrichment": spark.sql(_WALLETS, supplier=table(spark, sf_dir, "supplier")),
+        "triage": table(spark, sf_dir, "labels").select(F.substring(F.sha1(F.col("doc_id").cast("string").cast("binary")), 1, 10).alias("id")),
+        "actions": table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("target")),
+    }
+    return report.kpis(messages(spark, sf_dir), dims).select("messages", "likely_scam", "wallets", "untriaged", "actions", "action_targets")
