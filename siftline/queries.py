@@ -270,7 +270,7 @@ def ip_answers(spark, sf_dir):
     return E.ip_rows(table(spark, sf_dir, "customer").select(answer.alias("answer")), "2024-01-01").select("ip", "asn", "as_name", "isp", "reverse_dns")
 
 
-_WALLETS = """SELECT '1Wallet' || cast(s_suppkey % 21 AS string) AS address, max(cast(s_nationkey % 3 AS string)) AS tx_count, max('b' || cast(s_nationkey AS string)) AS balance FROM {supplier} WHERE s_suppkey % 4 <> 1 GROUP BY 1"""
+_WALLETS = """SELECT '1Wallet' || cast(s_suppkey % 21 AS string) AS address, max(cast(s_nationkey % 3 AS string)) AS tx_count, max('b' || cast(s_nationkey AS string)) AS balance FROM {supplier} WHERE s_suppkey % 21 % 4 <> 1 GROUP BY 1"""
 
 
 @query(DUCK + ", w AS (" + _WALLETS.format(supplier="supplier") + """)
