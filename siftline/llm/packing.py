@@ -36,6 +36,8 @@ from .common import materialise, sliced
 
 #: Ids are remembered for so many distinct words in each worker process, about 200 MB, unless told otherwise.
 CACHE = 1_000_000
+#: Words that are encoded at once; an encoding takes about a kilobyte until its ids are read.
+ENCODED = 2_000
 #: Rows of the (partition, queue) offsets up to which they are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -86,7 +88,10 @@ class WordTokeniser:
             stem = low.rstrip(".,!?")
             split[p] = (stem, low[len(stem) :]) if stem != low and stem.isascii() and stem[-1:].isalpha() else (low, "")
         need = list({x for pair in split.values() for x in pair}.difference(self.cache))
-        new = {x: array("H", e.ids).tobytes() for x, e in zip(need, self.tokenizer.encode_batch(need, add_special_tokens=False))}
+        new = {}
+        for i in range(0, len(need), ENCODED):
+            some = need[i : i + ENCODED]
+            new.update((x, array("H", e.ids).tobytes()) for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
         find = lambda x: new[x] if x in new else self.cache[x]
         joined = {p: find(a) + find(b) for p, (a, b) in split.items()}
         return {x: v for x, v in new.items() if x not in self.cache} | joined
@@ -186,7 +191,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cache_words:
         t = WordTokeniser.at(tokenizer_path)
         t.most = cache_words
         part, upto = TaskContext.get().partitionId(), {}
-        for b in sliced(batches):
+        for b in sliced(batches, max_bytes=2 << 20):
             at, n = [], []
             ids = [x + end for x in t.ids([x or "" for x in b.column("text").to_pylist()])]
             for s, x in zip(b.column("source").to_pylist(), ids):
