@@ -59,7 +59,7 @@ def brand_counts(m: DataFrame) -> DataFrame:
 
 
 def exploded(m: DataFrame) -> DataFrame:
-    return m.select("seq", "id", "from_domain", F.inline("indicators"))
+    return m.select("seq", "id", "from_domain", "category", F.inline("indicators"))
 
 
 def indicators(m: DataFrame, kind: str) -> DataFrame:
@@ -77,7 +77,7 @@ def operator_fingerprints(m: DataFrame, show: int = 8) -> DataFrame:
 
 def origin_asns(m: DataFrame, ips: DataFrame) -> DataFrame:
     """By autonomous system, from ``ips(ip, asn, as_name, country)``; the name is that of the smallest address."""
-    d = exploded(m).where("kind = 'ip'").select("seq", "from_domain", F.col("value").alias("ip")).join(m.select("seq", "category"), "seq").join(ips, "ip").where("asn <> ''")
+    d = exploded(m).where("kind = 'ip'").select("from_domain", "category", F.col("value").alias("ip")).join(ips, "ip").where("asn <> ''")
     return d.groupBy("asn").agg(F.count(F.lit(1)).alias("messages"), F.count(F.when(F.col("category") == "likely_scam", 1)).alias("likely_scam"), F.countDistinct("ip").alias("ips"), F.countDistinct(F.when(F.col("from_domain") != "", F.col("from_domain"))).alias("domains"), F.min_by("as_name", "ip").alias("as_name"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("country") != "", F.col("country")))), ", ").alias("countries"))
 
 
