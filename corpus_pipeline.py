@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import mixing, packing, simhash, substring, toxicity
+from siftline.llm import mixing, packing, resemblance, substring, toxicity
 from siftline.llm.common import materialise, read
 
 
@@ -21,11 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, that with the smallest id; fingerprints over five-word shingles.
-
-    Two differing bits of 64 are an angle of about 5.6 degrees, a similarity far above 0.8.
-    """
-    return simhash.representatives(docs, shingle=5, radius=2)
+    """One document of each component, that with the smallest id; all pairs whose five-word shingles have a Jaccard similarity of 0.8 or more are linked."""
+    return resemblance.representatives(docs, shingle=5, similarity=0.8)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +48,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: SimHash, the trained model and the tokenizer can't be expressed in SQL; the pipeline is tested stage by stage.
+#: Near duplicates, the trained model and the tokenizer can't be expressed in SQL; the pipeline is tested stage by stage.
 ORACLE_SQL = None
 
 

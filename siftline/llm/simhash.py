@@ -16,7 +16,7 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,29 +26,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, raw_texts, sliced, unique_ids, with_rid
+from .common import connected_components, materialise, raw_texts, sliced
 
 #: Shingles of which the bits are counted at once.
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Fingerprint of a UTF-8 text as an unsigned number: a bit is set if it is set in over half of the shingles' XXH64."""
+def hashes(text: bytes, shingle: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a UTF-8 text in order, repeated ones again, ``CHUNK`` at a time."""
     words = text.lower().split()  # bytes.lower() changes A-Z only
     if not words:
-        return 0
+        return
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
     begins = [0, *ends[: n - 1].tolist()]
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     h = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for i in range(0, n, CHUNK):
-        v = np.array([h(joined[a:b], seed) for a, b in zip(begins[i : i + CHUNK], stops[i : i + CHUNK])], ">u8")
-        ones += np.unpackbits(v.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        yield np.array([h(joined[a:b], seed) for a, b in zip(begins[i : i + CHUNK], stops[i : i + CHUNK])], np.uint64)
+
+
+def vote(chunks: Iterable[np.ndarray]) -> int:
+    """An unsigned number with the bits that are set in over half of the hashes."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for v in chunks:
+        n += len(v)
+        ones += np.unpackbits(v.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """Fingerprint of a UTF-8 text as an unsigned number: a bit is set if it is set in over half of the shingles' XXH64."""
+    return vote(hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp)``; ``fp`` is the fingerprint's bit pattern as a signed long."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -91,13 +102,3 @@ def components(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 def hex_fingerprint(column: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")
-
-
-def representatives(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that have the smallest id of their component; one of rows that repeat an id and text."""
-    d = with_rid(docs, id_col, text_col, carry=True)
-    first = near_duplicates(d, shingle, radius, "rid", "text").where("doc_id = component_id").select(F.col("doc_id").alias("rid")).distinct()
-    kept = d.join(first, "rid", "left_semi")
-    if not unique_ids(docs, id_col):
-        kept = kept.dropDuplicates(["rid"])
-    return kept.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
