@@ -217,6 +217,13 @@ def template_fingerprints(spark, sf_dir):
     return templates.voted(d, "doc_id", F.col("text")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"))
 
 
+@query()
+def template_fingerprints_all(spark, sf_dir):
+    """All documents, zero without words; without SQL, as the engines' regular expressions differ outside English texts."""
+    got = templates.fingerprints(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")))
+    return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"))
+
+
 @query()
 def template_clusters(spark, sf_dir):
     return templates.clusters(templates.fingerprints(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit(""))), "doc_id").select("doc_id", "label", "size")
