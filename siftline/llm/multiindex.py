@@ -187,10 +187,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, centroids: int = 3
         qid, vid = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
         limit = left.column("threshold").to_numpy()
         by_id = np.argsort(vid, kind="stable")
-        m, vid = m[by_id], vid[by_id]
+        m = m[by_id]
+        vid, starts = np.unique(vid[by_id], return_index=True)
         out: list[tuple[np.ndarray, ...]] = []
         for a in range(0, len(q), 256):
-            s = q[a : a + 256] @ m.T
+            s = np.maximum.reduceat(q[a : a + 256] @ m.T, starts, axis=1)  # rows that repeat an id, before the cut to k
             s[qid[a : a + 256, None] == vid[None, :]] = -np.inf
             o = np.argsort(-s, axis=1, kind="stable")[:, : 2 * k]
             best = np.take_along_axis(s, o, axis=1)
