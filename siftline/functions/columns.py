@@ -86,14 +86,18 @@ def brands(text: Column) -> Column:
 
 
 def display_brands(name: Column) -> Column:
-    def phrases(b: str) -> tuple[list[str], int]:
-        return (rules.BRANDS[b][0], 0) if len(b) <= 3 else ([b], 2)
+    """Brands that a sender's name claims, sorted: by their own name, the shortest by their phrases, with no words in between."""
+    phrases = lambda b: rules.BRANDS[b][0] if len(b) <= 3 else [b]
+    return F.array_compact(F.array(*[F.when(name.rlike("(?iU)" + rules.phrase_pattern(phrases(b), 0)), F.lit(b)) for b in sorted(rules.BRANDS)]))
 
-    return F.array_compact(F.array(*[F.when(name.rlike("(?iU)" + rules.phrase_pattern(*phrases(b))), F.lit(b)) for b in rules.BRANDS]))
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def message_id(header: Column, date: Column, sender: Column, subject: Column) -> Column:
-    key = F.trim(F.coalesce(header, F.lit("")))
+    key = stripped(F.coalesce(header, F.lit("")))
     rest = F.concat_ws("\0", *[F.coalesce(x, F.lit("")) for x in (date, sender, subject)])
     return F.substring(F.sha1(F.when(key != "", key).otherwise(rest).cast("binary")), 1, 10)
 

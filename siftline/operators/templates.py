@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import columns as C
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` from a Parquet copy in the shared checkpoint folder; a local one only where none is configured."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or (sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="siftline-")
-        sc.setCheckpointDir(folder)
-    path = f"{folder}/siftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from siftline.operators.graph import connected_components
+from siftline.operators.scratch import drop, saved
 
 
 def voted(messages: DataFrame, key: str, body: Column) -> DataFrame:
@@ -29,9 +18,11 @@ def voted(messages: DataFrame, key: str, body: Column) -> DataFrame:
     Texts, hashes and votes are written one after the other: fused into one plan, each vote would compute its hash anew.
     """
     half = lambda m, at: F.conv(F.substring(m, at, 8), 16, 10).cast("long")
-    text = saved(messages.select(key, C.template_text(body).alias("t")))
-    s = saved(text.select(key, F.explode(C.shingles(F.col("t"))).alias("s")).select(key, F.md5(F.col("s").cast("binary")).alias("m")))
-    h = saved(s.select(key, F.shiftleft(half(F.col("m"), 17), 32).bitwiseOR(half(F.col("m"), 25)).alias("h")))
+    text = saved(messages.select(key, C.template_text(body).alias("t")), "texts")
+    s = saved(text.select(key, F.explode(C.shingles(F.col("t"))).alias("s")).select(key, F.md5(F.col("s").cast("binary")).alias("m")), "digests")
+    drop(text)
+    h = saved(s.select(key, F.shiftleft(half(F.col("m"), 17), 32).bitwiseOR(half(F.col("m"), 25)).alias("h")), "hashes")
+    drop(s)
     votes = h.groupBy(key).agg(*[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(1) * 2 - 1).alias(f"b{i}") for i in range(64)])
     bits = F.lit(0).cast("long")
     for i in range(64):
@@ -44,29 +35,31 @@ def fingerprints(messages: DataFrame, key: str, body: Column) -> DataFrame:
     return messages.select(key).join(voted(messages, key, body), key, "left").select(key, F.coalesce("fp", F.lit(0)).alias("fp"))
 
 
+#: Where the six blocks of a fingerprint begin, and their widths.
+BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+
+
 def similar(nodes: DataFrame, distance: int = 3) -> DataFrame:
-    """Pairs ``(src, dst)`` of distinct ``fp`` that differ in at most three bits: they agree on one of four bands of 16."""
+    """Pairs ``(src, dst)`` of distinct ``fp`` that differ in at most three bits.
+
+    Three bits spoil at most three of six blocks, so such a pair agrees on three
+    whole blocks: each fingerprint is dealt by the bits of all 20 choices of
+    three, 31 to 33 bits each, and few that are not alike meet.
+    """
     if distance > 3:
-        raise ValueError("four bands find distances up to 3")
-    bands = nodes.select("fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF) for i in range(4)])).alias("band", "v"))
-    other = bands.select(F.col("fp").alias("dst"), "band", "v")
-    pairs = bands.withColumnRenamed("fp", "src").join(other, ["band", "v"]).where("src < dst").where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= distance)
+        raise ValueError("six blocks find distances up to 3")
+    masks = [sum(((1 << n) - 1) << at for at, n in chosen) for chosen in combinations(BLOCKS, 3)]
+    keys = F.array(*[F.col("fp").bitwiseAND(x - (1 << 64) if x >> 63 else x) for x in masks])
+    dealt = nodes.select("fp", F.posexplode(keys).alias("choice", "bits"))
+    other = dealt.select(F.col("fp").alias("dst"), "choice", "bits")
+    pairs = dealt.withColumnRenamed("fp", "src").join(other, ["choice", "bits"]).where("src < dst").where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= distance)
     return pairs.select("src", "dst").distinct()
 
 
 def clusters(fps: DataFrame, key: str, distance: int = 3) -> DataFrame:
-    """``(key, label)`` of messages in single-linkage groups of two or more; fingerprint zero takes no part."""
-    f = saved(fps.where("fp <> 0"))
-    e = saved(similar(f.select("fp").distinct(), distance))
-    e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    label = saved(f.select("fp").distinct().withColumn("label", F.col("fp")))
-    while True:
-        near = e.join(label.select(F.col("fp").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("near"))
-        new = saved(label.join(near, F.col("fp") == F.col("src"), "left").select("fp", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old")))
-        changed = new.where("label <> old").limit(1).count()
-        label = new.select("fp", "label")
-        if not changed:
-            break
-    sized = f.join(label, "fp").select(key, "label")
+    """``(key, label, size)`` of messages in single-linkage groups of two or more; fingerprint zero takes no part."""
+    f = saved(fps.where("fp <> 0").select(key, "fp"), "fps")
+    label = connected_components(similar(f.select("fp").distinct(), distance)).select(F.col("u").alias("fp"), "label")
+    sized = f.join(label, "fp", "left").select(key, F.coalesce("label", "fp").alias("label"))
     big = sized.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return sized.join(big, "label")

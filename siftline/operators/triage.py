@@ -23,15 +23,17 @@ def triage(signals: DataFrame) -> DataFrame:
     quoted = F.replace(F.replace(F.replace(quoted, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
     official = F.create_map(*[x for b, (_, d) in rules.BRANDS.items() for x in (F.lit(b), F.array(*map(F.lit, d)))])
     false_brand = F.get(F.filter(C.display_brands(c("display_name")), lambda b: ~F.array_contains(official[b], root) & ~F.array_contains(official[b], c("from_domain"))), F.lit(0))
-    age = F.when(c("age") != 0, c("age")).otherwise(F.coalesce(c("root_age"), c("age")))  # an age of 0 gives way to the root's
+    root_age = F.when(c("from_domain") == root, F.coalesce(c("root_age"), c("age"))).otherwise(c("root_age"))
+    age = F.when(c("age") != 0, c("age")).otherwise(root_age)  # an age of 0 gives way to the root's, known or not
     diverted = (reply_root != "") & (root != "") & (reply_root != root)
-    free = c("reply_domain").isin(*rules.FREEMAIL)
+    free = reply_root.isin(*rules.FREEMAIL)
     puny = F.exists(c("flags"), lambda x: x.startswith("punycode:"))
 
     def rule(when, points, reason):
         return F.when(when, F.struct(F.lit(points).cast("int").alias("points"), reason.alias("reason")))
 
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    # Points and the texts of the reasons.
     fired = F.array_compact(
         F.array(
             rule(urgent != "", 3, say("urgent keyword: ", quoted)),

@@ -8,6 +8,7 @@ the next run.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -47,6 +48,11 @@ def candidate_domains(m: DataFrame, at_least: int = 1) -> DataFrame:
     return m.where("from_domain <> ''").groupBy(F.col("from_domain").alias("domain")).agg(F.count(F.lit(1)).alias("messages")).where(F.col("messages") >= at_least)
 
 
+def candidate_ips(m: DataFrame) -> DataFrame:
+    """``(ip, first_seq)``: all global addresses of ``originating_ips``, not only those of origin."""
+    return m.select("seq", F.explode("originating_ips").alias("ip")).where(C.is_global_ip(F.col("ip"))).groupBy("ip").agg(F.min("seq").alias("first_seq"))
+
+
 def candidates(m: DataFrame, kinds: list[str]) -> DataFrame:
     """Distinct indicator values of these kinds, with where each was first seen."""
     seen = m.select("seq", F.inline("indicators")).where(F.col("kind").isin(kinds))
@@ -66,12 +72,20 @@ def without_nameservers(known: DataFrame) -> DataFrame:
 # Lookups
 
 
-def look_up(keys: DataFrame, key: str, client: Callable[[list[str]], list[str | None]], batch: int = 100) -> DataFrame:
-    """``(key, answer, error)``: asks in batches; a batch that fails keeps its rows, with ``error`` set and no answer."""
+def look_up(keys: DataFrame, key: str, client: Callable[[list[str]], list[str | None]], batch: int = 100, delay: float = 0) -> DataFrame:
+    """``(key, answer, error)``: asks in batches; a batch that fails keeps its rows, with ``error`` set and no answer.
+
+    Every task asks on its own, with ``delay`` seconds between two of its
+    batches: a service that limits its callers wants ``keys`` in one partition.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked_before = False
         for f in frames:
             for at in range(0, len(f), batch):
+                if asked_before:
+                    time.sleep(delay)
+                asked_before = True
                 asked = f[key].iloc[at : at + batch].tolist()
                 try:
                     answers, error = list(client(asked)), None
@@ -103,6 +117,73 @@ def ip_rows(answers: DataFrame, checked: str) -> DataFrame:
     )
 
 
+WHOIS_ANSWER = "struct<creation_date: array<string>, registrar: array<string>, name_servers: array<string>, org: array<string>, country: array<string>>"
+WALLET_ANSWER = (
+    "struct<info: struct<chain_stats: struct<tx_count: long, funded_txo_sum: decimal(38,0), spent_txo_sum: decimal(38,0)>, coin_balance: string>,"
+    " counters: struct<transactions_count: string>, recent: array<struct<status: struct<confirmed: boolean, block_time: long>>>>"
+)
+#: Notes of keys that are never asked again, and where wallets are shown.
+WHOIS_FAILED, WALLET_REJECTED = "Bad Request -- WHOIS lookup failed: ", "Bad Request (400) -- API rejected this address, likely malformed/OCR error"
+EXPLORERS, REPORTS = {"BTC": "https://blockstream.info/address/", "ETH": "https://eth.blockscout.com/address/"}, "https://www.chainabuse.com/address/"
+
+
+def domain_rows(answers: DataFrame) -> DataFrame:
+    """Rows of ``domain_enrichment`` from answers about registrations; of values that disagree the first holds."""
+    a = answers.where("answer IS NOT NULL").select("domain", F.from_json("answer", WHOIS_ANSWER).alias("a")).select("domain", "a.*")
+    return a.select("domain", first_of(F.col("creation_date")).alias("registered_date"), first_of(F.col("registrar")).alias("registrar"), nameserver_list(F.col("name_servers")).alias("nameservers"), first_of(F.col("org")).alias("registrant_org"), first_of(F.col("country")).alias("registrant_country"), F.lit("").alias("notes"))
+
+
+def failed_domains(answers: DataFrame, final: tuple[str, ...] = ("PywhoisError",)) -> DataFrame:
+    """Rows of domains about which the service can say nothing; other errors give none."""
+    said = reduce(lambda a, b: a | b, [F.col("error").startswith(x) for x in final], F.lit(False))
+    blank = [F.lit("").alias(c) for c in ("registered_date", "registrar", "nameservers", "registrant_org", "registrant_country")]
+    return answers.where(said).select("domain", *blank, F.concat(F.lit(WHOIS_FAILED), F.regexp_replace("error", "^[^:]*: ", "")).alias("notes"))
+
+
+def domain_ages(facts: DataFrame, today: Column | None = None) -> DataFrame:
+    """``(domain, age)``: days since the first date in ``registered_date``; domains in lower case, the last row of each, none without a valid date."""
+    day = F.regexp_extract(F.coalesce("registered_date", F.lit("")), r"\d{4}-\d{2}-\d{2}", 0).try_cast("date")
+    d = facts.select(F.lower("domain").alias("domain"), F.datediff(F.current_date() if today is None else today, day).alias("age"), F.monotonically_increasing_id().alias("at"))
+    return d.where("age IS NOT NULL AND domain <> ''").groupBy("domain").agg(F.max_by("age", "at").alias("age"))
+
+
+def _wallet_keys(answers: DataFrame) -> DataFrame:
+    return answers.withColumns({"chain": F.substring_index("wallet", ":", 1), "address": F.regexp_replace("wallet", "^[^:]*:", "")})
+
+
+def wallet_rows(answers: DataFrame, checked: str) -> DataFrame:
+    """Rows of ``wallet_enrichment`` from ``(wallet, answer, error)``, where ``wallet`` is ``chain:address``.
+
+    The first day of a Bitcoin address is only known if all its transactions are on the first page; else it is an upper bound.
+    A rejected address (400) has a row that says so; other errors give none.
+    """
+    a = _wallet_keys(answers.where("answer IS NOT NULL OR error LIKE 'HTTPError%400%'")).withColumn("a", F.from_json("answer", WALLET_ANSWER))
+    c, none, zero = F.col, F.lit(""), F.lit(0).cast("decimal(38,0)")
+    is_btc, rejected = c("chain") == "BTC", c("answer").isNull()
+    n = F.when(is_btc, F.coalesce("a.info.chain_stats.tx_count", F.lit(0))).otherwise(F.coalesce(c("a.counters.transactions_count").try_cast("long"), F.lit(0)))
+    funded, spent = (F.coalesce(f"a.info.chain_stats.{x}", zero) for x in ("funded_txo_sum", "spent_txo_sum"))
+    wei = F.coalesce(c("a.info.coin_balance").try_cast("decimal(38,0)"), zero)
+    half = F.lit(5 * 10**11).cast("decimal(38,0)")
+    times = F.transform(F.filter(F.coalesce("a.recent", F.array()), lambda t: t["status"]["confirmed"]), lambda t: t["status"]["block_time"])
+    day = lambda x: F.substring(iso_time(x), 1, 10)
+    seen = is_btc & (n > 0) & (F.size(times) > 0)
+    first = F.concat(F.when(n > 25, "<= ").otherwise(""), day(F.array_min(times)))
+    shown = lambda x: F.when(rejected, none).otherwise(x)
+    page = F.concat(F.when(is_btc, EXPLORERS["BTC"]).otherwise(EXPLORERS["ETH"]), "address")
+    return a.select(
+        "address", "chain", shown(n.cast("string")).alias("tx_count"), shown(F.when(~is_btc, none).when(funded > 0, coins(funded, 8, "BTC")).otherwise("0")).alias("total_received"),
+        shown(F.when(is_btc & (funded > 0), coins(funded - spent, 8, "BTC")).when(~is_btc & (wei > 0), coins(wei + half, 6, "ETH", drop=12)).otherwise("0")).alias("balance"),
+        F.when(seen, first).otherwise("").alias("first_seen"), F.when(seen, day(F.array_max(times))).otherwise("").alias("last_seen"), F.lit(checked).alias("checked_date"),
+        page.alias("explorer_url"), F.concat(F.lit(REPORTS), "address").alias("chainabuse_url"), F.when(rejected, WALLET_REJECTED).otherwise("").alias("notes"),
+    )
+
+
+def wallet_transactions(answers: DataFrame) -> DataFrame:
+    """Rows of ``wallet_transactions`` from the same answers."""
+    t = _wallet_keys(answers.where("answer IS NOT NULL")).select("chain", "address", F.explode(F.from_json(F.get_json_object("answer", "$.transactions"), "array<string>")).alias("payload"))
+    return btc_rows(t.where("chain = 'BTC'")).unionByName(eth_rows(t.where("chain <> 'BTC'")))
+
+
 def nameserver_list(names: Column) -> Column:
     """An array of name servers in lower case, without trailing dots, sorted, each once, as text."""
     tidy = F.transform(F.filter(names, lambda x: x.isNotNull() & (x != "")), lambda x: F.rtrim(F.lower(x), F.lit(".")))
@@ -203,18 +284,19 @@ def status_row(answers: DataFrame, key: str, permanent: tuple[str, ...] = ("HTTP
 
 def wallet_report(m: DataFrame, wallets: DataFrame) -> DataFrame:
     """Wallets of ``indicators`` with their facts; ``wallets`` has one row per address, whatever the chain."""
-    seen = m.select("seq", "from_domain", F.inline("indicators")).where("kind IN ('btc', 'eth')").groupBy(F.upper("kind").alias("chain"), F.col("value").alias("address"))
-    g = seen.agg(F.count(F.lit(1)).alias("times_seen"), F.countDistinct(F.when(F.col("from_domain") != "", F.col("from_domain"))).alias("distinct_domains"), F.min("seq").alias("first_seq"))
-    d = g.join(wallets, "address", "left").withColumn("tx_count", C.score(F.coalesce(F.col("tx_count").cast("string"), F.lit(""))))
+    seen = m.select("seq", "from_domain", F.posexplode("indicators").alias("at", "_i")).where("_i.kind IN ('btc', 'eth')").groupBy(F.upper("_i.kind").alias("chain"), F.col("_i.value").alias("address"))
+    g = seen.agg(F.count(F.lit(1)).alias("times_seen"), F.countDistinct(F.when(F.col("from_domain") != "", F.col("from_domain"))).alias("distinct_domains"), F.min("seq").alias("first_seq"), F.min(F.struct("seq", "at")).alias("first"))
+    facts = wallets.withColumnsRenamed({"first_seen": "first_active", "last_seen": "last_active"}) if "first_seen" in wallets.columns else wallets
+    d = g.join(facts, "address", "left").withColumn("tx_count", C.score(F.coalesce(F.col("tx_count").cast("string"), F.lit(""))))
     return d.withColumn("active", F.col("tx_count") > 0)
 
 
 def ip_report(m: DataFrame, ips: DataFrame) -> DataFrame:
     """Addresses of origin with their facts and whether they are artifacts of the mail exchange."""
     seen = m.select("seq", "from_domain", F.inline("indicators")).where("kind = 'ip'").groupBy(F.col("value").alias("ip"))
-    g = seen.agg(F.count(F.lit(1)).alias("times_seen"), F.countDistinct(F.when(F.col("from_domain") != "", F.col("from_domain"))).alias("distinct_domains"))
+    g = seen.agg(F.count(F.lit(1)).alias("times_seen"), F.countDistinct(F.when(F.col("from_domain") != "", F.col("from_domain"))).alias("distinct_domains"), F.min("seq").alias("first_seq"))
     blank = [_text(F.col(c)).alias(c) for c in ("asn", "as_name", "isp", "country")]
-    return g.join(ips, "ip", "left").select("ip", "times_seen", "distinct_domains", *blank, C.is_artifact(F.col("ip"), F.col("isp"), F.col("asn")).alias("artifact"))
+    return g.join(ips, "ip", "left").select("ip", "times_seen", "distinct_domains", *blank, C.is_artifact(F.col("ip"), F.col("isp"), F.col("asn")).alias("artifact"), "first_seq")
 
 
 def transactions_report(transactions: DataFrame) -> DataFrame:

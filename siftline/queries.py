@@ -32,6 +32,15 @@ VIEW = """SELECT *, CASE WHEN seq % 97 = 0 THEN '' ELSE '2024-0' || cast(1 + seq
   CASE WHEN d.doc_id % 8 = 3 THEN 'help' || cast(d.doc_id % 60 AS string) || '@mail.example' ELSE '' END AS email, d.doc_id % 5 = 3 AS email_functional,
   CASE WHEN d.doc_id % 13 = 5 THEN '1Wallet' || cast(d.doc_id % 21 AS string) ELSE '' END AS btc, CASE WHEN d.doc_id % 17 = 2 THEN 'img' || cast(d.doc_id % 11 AS string) ELSE '' END AS image
   FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id) v"""
+#: The other columns of the message relation, by rules on ``seq``.
+DETAILS = {
+    "source": "concat('box', seq % 3)", "date": "concat('Mon, 01 Jan 20', 10 + seq % 15, ' 10:00:00 +0000')", "from_name": "concat('Name ', seq % 8)", "return_path": "concat('bounce@', from_domain)",
+    "reply_to_addr": "CASE WHEN seq % 4 = 0 THEN 'me.too@gmail.com' ELSE '' END", "list_unsubscribe": "seq % 2 = 0", "dkim": "CASE WHEN seq % 3 = 0 THEN 'fail' ELSE 'pass' END", "spf": "''", "dmarc": "'none'",
+    "scam_signals": "array('dmarc=fail', concat('rule ', seq % 4))", "url_count": "cast(seq % 3 as int)", "url_domains": "array('a.example', 'b.example')", "first_url": "concat('https://a.example/x.', seq % 5)",
+    "link_mismatches": "array(concat('p.com => ', from_domain))", "url_flags": "array('shortener:bit.ly')", "remote_image_domains": "array('pix.example')", "image_count": "size(image_hashes)",
+    "image_phashes": "CASE WHEN seq % 2 = 0 THEN transform(image_hashes, x -> concat('p', x)) ELSE array() END", "image_filenames": "transform(image_hashes, x -> concat('f', seq % 6, '.png'))", "image_ocr_chars": "0",
+    "body_template_fingerprint": "lpad(lower(hex(seq % 9)), 16, '0')", "fp": "cast(seq % 9 * 286331153 as bigint)",
+}
 DUCK = "WITH m AS (" + VIEW.format(documents="documents", labels="labels") + ")\n"
 EXPLODED = """, x AS (SELECT seq, from_domain, 'ip' AS kind, ip AS value, false AS functional FROM m UNION ALL SELECT seq, from_domain, 'phone', phone, phone_functional FROM m
   UNION ALL SELECT seq, from_domain, 'email', email, email_functional FROM m UNION ALL SELECT seq, from_domain, 'btc', btc, false FROM m UNION ALL SELECT seq, from_domain, 'image', image, false FROM m)
@@ -46,12 +55,19 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = spark.sql(VIEW, documents=table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
     one = lambda kind, value, functional=F.lit(False): F.struct(F.lit(kind).alias("kind"), F.col(value).alias("value"), functional.alias("functional"))
     found = F.array(one("ip", "ip"), one("phone", "phone", F.col("phone_functional")), one("email", "email", F.col("email_functional")), one("btc", "btc"), one("image", "image"))
-    return m.withColumn("brands", F.filter(F.array("brand1", "brand2"), lambda x: x != "")).withColumn("indicators", F.filter(found, lambda x: x["value"] != ""))
+    listed = lambda *c: F.filter(F.array(*[F.col(x) for x in c]), lambda x: x != "")
+    functional = lambda c: F.when(F.col(f"{c}_functional"), listed(c)).otherwise(F.array().cast("array<string>"))
+    m = m.withColumns({"brands": listed("brand1", "brand2"), "indicators": F.filter(found, lambda x: x["value"] != "")})
+    m = m.withColumns({"impersonated_brands": F.col("brands"), "phone_numbers": listed("phone"), "contact_emails_in_body": listed("email"), "btc_addresses": listed("btc"), "eth_addresses": F.array().cast("array<string>")})
+    m = m.withColumns({"phones_functional": functional("phone"), "contacts_functional": functional("email"), "image_hashes": listed("image"), "originating_ips": listed("ip"), "origin_ip": F.col("ip")})
+    m = m.withColumns({"phones_filler": F.array_except("phone_numbers", "phones_functional"), "contacts_filler": F.array_except("contact_emails_in_body", "contacts_functional")})
+    return m.withColumns({c: F.expr(x) for c, x in DETAILS.items()})
 
 
 def ip_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Address facts: addresses end in a supplier's key modulo 40; the supplier's nation is the network."""
-    return spark.sql(IPS, supplier=table(spark, sf_dir, "supplier"), nation=table(spark, sf_dir, "nation"))
+    """Address facts: addresses end in a supplier's key modulo 40; the supplier's nation is the network, and its name the code of the country."""
+    facts = spark.sql(IPS, supplier=table(spark, sf_dir, "supplier"), nation=table(spark, sf_dir, "nation"))
+    return facts.withColumns({"isp": F.col("as_name"), "country_code": F.col("country")})
 
 
 IPS = """SELECT '8.8.' || cast(s_suppkey % 5 AS string) || '.' || cast(s_suppkey % 40 AS string) AS ip, max(CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE 'AS' || cast(s_nationkey AS string) END) AS asn,
@@ -134,12 +150,13 @@ for _kind, _name in (("phone", "phones"), ("email", "contact_addresses"), ("btc"
 @query(DUCK + EXPLODED + """, g AS (SELECT kind, value, bool_or(functional) AS f, list_sort(list(DISTINCT replace(from_domain, '.', '[.]'))) AS a FROM x WHERE value <> '' AND from_domain <> '' GROUP BY 1, 2)
 SELECT kind, value, (CASE WHEN kind IN ('btc', 'eth', 'ip') THEN 0 WHEN kind = 'image' OR f THEN 1 ELSE 2 END)::INT AS rank, len(a)::BIGINT AS domain_count, array_to_string(a[1:8], '; ') AS domains FROM g WHERE len(a) >= 2""")
 def operator_fingerprints(spark, sf_dir):
-    return R.operator_fingerprints(messages(spark, sf_dir))
+    return R.operator_fingerprints(messages(spark, sf_dir)).drop("functional", "first")
 
 
 @query(DUCK + DUCK_IPS + "SELECT asn, count(*) AS messages, count(*) FILTER (category = 'likely_scam') AS likely_scam, count(DISTINCT m.ip) AS ips, count(DISTINCT nullif(from_domain, '')) AS domains, arg_min(as_name, m.ip) AS as_name, string_agg(DISTINCT country, ', ' ORDER BY country) AS countries FROM m JOIN ips ON m.ip = ips.ip WHERE asn <> '' GROUP BY 1")
 def origin_asns(spark, sf_dir):
-    return R.origin_asns(messages(spark, sf_dir), ip_table(spark, sf_dir))
+    asns = R.origin_asns(messages(spark, sf_dir), ip_table(spark, sf_dir))
+    return asns.select("asn", "messages", "likely_scam", "ips", "domains", "as_name", F.array_join("countries", ", ").alias("countries"))
 
 
 @query(DUCK + DUCK_IPS + "SELECT count(*) FILTER (asn IS NULL) AS unenriched FROM (SELECT DISTINCT ip FROM m WHERE ip <> '') q LEFT JOIN ips ON q.ip = ips.ip")
@@ -157,7 +174,7 @@ SELECT lower(registrar) AS registrar, 'host' || regexp_extract(nameservers, 'hos
 CASE WHEN count(*) > 1 THEN date_diff('day', min(registered_date)::DATE, max(registered_date)::DATE) END AS span_days, sum(coalesce(messages, 0))::BIGINT AS messages FROM dom LEFT JOIN n ON domain = from_domain GROUP BY 1, 2 HAVING count(*) >= 2""")
 def registration_clusters(spark, sf_dir):
     by = messages(spark, sf_dir).groupBy(F.col("from_domain").alias("domain")).agg(F.count(F.lit(1)).alias("messages"))
-    return R.registration_clusters(spark.sql(DOMAINS, supplier=table(spark, sf_dir, "supplier")), by)
+    return R.registration_clusters(spark.sql(DOMAINS, supplier=table(spark, sf_dir, "supplier")), by).drop("dates")
 
 
 @query("""SELECT page_id, lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1)) AS domain,
@@ -290,8 +307,7 @@ def wallet_report(spark, sf_dir):
 @query(DUCK + DUCK_IPS + """SELECT m.ip, count(*) AS times_seen, count(DISTINCT nullif(from_domain, '')) AS distinct_domains, coalesce(any_value(asn), '') AS asn, coalesce(any_value(as_name), '') AS as_name, coalesce(any_value(country), '') AS country, false AS artifact
 FROM m LEFT JOIN ips ON m.ip = ips.ip WHERE m.ip <> '' GROUP BY m.ip""")
 def ip_report(spark, sf_dir):
-    facts = ip_table(spark, sf_dir).withColumn("isp", F.col("as_name"))
-    return E.ip_report(messages(spark, sf_dir), facts).drop("isp")
+    return E.ip_report(messages(spark, sf_dir), ip_table(spark, sf_dir)).drop("isp", "first_seq")
 
 
 @query(DUCK + "SELECT from_domain AS domain, count(*) AS messages FROM m WHERE from_domain <> '' GROUP BY 1 HAVING count(*) >= 3")
@@ -339,7 +355,8 @@ def safe_targets(spark, sf_dir):
 @query(DUCK + f""", d AS ({DOMAINS.format(supplier="supplier")}), g AS (SELECT CASE WHEN from_domain IN ({FREE}) AND from_addr <> '' THEN lower(trim(from_addr)) ELSE from_domain END AS k, count(*) AS messages, arg_min(from_domain, seq) AS provider, min(seq) AS first_seq FROM m WHERE from_domain <> '' GROUP BY 1)
 SELECT CASE WHEN k LIKE '%@%' THEN split_part(k, '@', 1) || '[@]' || replace(split_part(k, '@', 2), '.', '[.]') ELSE replace(k, '.', '[.]') END AS sender, k LIKE '%@%' AS is_freemail_address, messages, first_seq, coalesce(registrar, '') AS registrar, registrar IS NOT NULL AS enriched FROM g LEFT JOIN d ON provider = domain""")
 def sender_report(spark, sf_dir):
-    return report.domains(messages(spark, sf_dir), spark.sql(DOMAINS, supplier=table(spark, sf_dir, "supplier"))).select("sender", "is_freemail_address", "messages", "first_seq", "registrar", "enriched")
+    senders = report.domains(messages(spark, sf_dir), spark.sql(DOMAINS, supplier=table(spark, sf_dir, "supplier")))
+    return senders.select(F.col("domain").alias("sender"), "is_freemail_address", F.col("count").alias("messages"), "first_seq", "registrar", "enriched")
 
 
 @query(DUCK + "SELECT count(*) AS messages, count(*) FILTER (category = 'likely_scam') AS likely_scam, count(DISTINCT nullif(btc, '')) AS wallets, count(*) FILTER (category IN ('likely_scam', 'review') AND id NOT IN (SELECT substr(sha1(cast(doc_id AS string)), 1, 10) FROM labels)) AS untriaged, (SELECT count(*) FROM orders) AS actions, (SELECT count(DISTINCT o_custkey) FROM orders) AS action_targets FROM m")

@@ -47,7 +47,7 @@ STILL_GLOBAL = ["192.0.0.9", "192.0.0.10"]
 
 
 def phrase_pattern(phrases: list[str], gap: int = 2) -> str:
-    """One alternation; the words of a phrase may have up to ``gap`` other words between them."""
-    between = r"\W+(?:\w+\W+){0,%d}" % gap
+    """One alternation; the words of a phrase may have up to ``gap`` other words between them, as few as will do."""
+    between = r"\W+(?:\w+\W+){0,%d}?" % gap
     parts = [between.join(re.findall("[a-z0-9]+", p.lower())) for p in phrases]
     return r"\b(?:" + "|".join(parts) + r")\b"

@@ -1,8 +1,9 @@
 """Mail files as a DataFrame: a scan of a folder, one row per message, and the projection to signals.
 
-The scan is Spark's own binary file source, so files are listed and split over
-tasks by Spark, and each file is read by one task; a file must stay under 2 GB,
-that source's limit.  A message that can't be read keeps its row, with
+Single mails are read by Spark's binary file source, each by one task, and must
+stay under 2 GB.  Mailboxes are read as text that is cut at the lines that
+begin a message, so Spark splits a mailbox of any size over tasks and only one
+message is held at a time.  A message that can't be read keeps its row, with
 ``error`` set, and never fails the job; an empty file holds no message, and
 Spark skips it.
 """
@@ -22,14 +23,16 @@ from siftline.functions import parsing
 from siftline.operators.triage import triage
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
-_TEXT = "message_id date sender raw_subject date_iso subject from_name from_addr from_domain return_path reply_to_addr reply_domain auth body".split()
+#: Bytes of mail whose parsed rows a task holds before it gives them out.
+BATCH = 16 << 20
+_TEXT = "message_id date sender raw_subject date_iso subject from_name from_addr from_domain return_path reply_to_addr reply_domain auth body body_template_fingerprint".split()
 _LISTS = "received links image_sources link_mismatches phones phones_functional emails_functional".split()
-_IMAGE = T.StructType().add("name", "string").add("hash", "string")
+_IMAGE = T.StructType([*[T.StructField(x, T.StringType()) for x in ("name", "hash", "phash", "type")], T.StructField("size", T.LongType())])
 PARSED = T.StructType(
-    [T.StructField("path", T.StringType()), T.StructField("source", T.StringType()), T.StructField("position", T.IntegerType()), T.StructField("error", T.StringType()), T.StructField("list_unsubscribe", T.BooleanType())]
+    [T.StructField("path", T.StringType()), T.StructField("source", T.StringType()), T.StructField("position", T.LongType()), T.StructField("error", T.StringType()), T.StructField("list_unsubscribe", T.BooleanType())]
     + [T.StructField(c, T.StringType()) for c in _TEXT]
     + [T.StructField(c, T.ArrayType(T.StringType())) for c in _LISTS]
-    + [T.StructField("images", T.ArrayType(_IMAGE))]
+    + [T.StructField("images", T.ArrayType(_IMAGE)), T.StructField("image_ocr_chars", T.IntegerType())]
 )
 
 
@@ -39,31 +42,81 @@ def source_tag(path: Column, root: str) -> Column:
     return F.when(F.size(below) > 1, below[0]).otherwise("input")
 
 
-def parse_files(files: DataFrame, root: str) -> DataFrame:
-    """One row per message of binary files ``(path, content)``, batch or streaming."""
+class _Rows:
+    """Parsed messages, given out in record batches of about ``BATCH`` bytes of mail."""
+
     schema = to_arrow_schema(PARSED)
     blank = {f.name: None for f in PARSED.fields}
 
+    def __init__(self):
+        self.rows: list[dict] = []
+        self.held = 0
+
+    def add(self, path: str, source: str, position: int, raw: bytes) -> Iterator[pa.RecordBatch]:
+        row = self.blank | {"path": path, "source": source, "position": position}
+        try:
+            row |= parsing.parse(raw)
+        except Exception as e:  # noqa: BLE001  the row says what went wrong
+            row["error"] = f"{type(e).__name__}: {e}"
+        self.rows.append({k: v.encode("utf-8", "replace").decode() if isinstance(v, str) else v for k, v in row.items()})
+        self.held += len(raw)
+        if self.held >= BATCH:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            yield pa.RecordBatch.from_pylist(self.rows, schema=self.schema)
+            self.rows, self.held = [], 0
+
+
+def parse_files(files: DataFrame, root: str) -> DataFrame:
+    """One row per message of whole files ``(path, content)``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows()
         for b in batches:
-            for path, source, content in zip(*(b.column(i).to_pylist() for i in range(3))):
-                rows = []
-                for i, raw in enumerate(parsing.split_mailbox(content) if path.lower().endswith(".mbox") else [content]):
-                    row = blank | {"path": path, "source": source, "position": i}
-                    try:
-                        row |= parsing.parse(raw)
-                    except Exception as e:  # noqa: BLE001  the row says what went wrong
-                        row["error"] = f"{type(e).__name__}: {e}"
-                    rows.append({k: v.encode("utf-8", "replace").decode() if isinstance(v, str) else v for k, v in row.items()})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for i in range(b.num_rows):
+                path, source, content = (b.column(k)[i].as_py() for k in range(3))
+                for n, raw in enumerate(parsing.split_mailbox(content) if path.lower().endswith(".mbox") else [content]):
+                    yield from out.add(path, source, n, raw)
+        yield from out.rest()
 
     mail = files.where(F.lower("path").rlike(r"\.(eml|mbox)$"))
     return mail.select("path", source_tag(F.col("path"), root).alias("source"), "content").mapInArrow(run, PARSED)
 
 
-def read_mail(spark: SparkSession, root: str) -> DataFrame:
-    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root)
+def parse_records(records: DataFrame, root: str) -> DataFrame:
+    """One row per message of mailbox records ``(path, block, content)``, as they lie in a scan that cuts mailboxes before each message.
+
+    ``block`` is where the record's split of the file begins, which keeps
+    ``position`` rising over a file.  What precedes the first message of a file is no message.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, last, n = _Rows(), None, 0
+        for b in batches:
+            for i in range(b.num_rows):
+                path, source, block, raw = (b.column(k)[i].as_py() for k in range(4))
+                start = (path, block) != last
+                if start:
+                    last, n = (path, block), 0
+                if start and block == 0 and not raw.startswith(b"From "):
+                    continue
+                yield from out.add(path, source, block + n, raw.partition(b"\n")[2])
+                n += 1
+        yield from out.rest()
+
+    return records.select("path", source_tag(F.col("path"), root).alias("source"), "block", "content").mapInArrow(run, PARSED)
+
+
+def read_mail(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """All mail below the folder ``root``, or that of the files ``paths`` in it."""
+    where = [root] if paths is None else paths
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[eE][mM][lL]").load(where)
+    boxes = spark.read.format("text").option("lineSep", "\nFrom ").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][bB][oO][xX]").load(where)
+    one = files.select(F.col("_metadata.file_path").alias("path"), "content")
+    many = boxes.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("content"))
+    return parse_files(one, root).unionByName(parse_records(many, root))
 
 
 def signals(parsed: DataFrame, self_addresses: list[str] = (), ages: DataFrame | None = None) -> DataFrame:
@@ -80,7 +133,7 @@ def signals(parsed: DataFrame, self_addresses: list[str] = (), ages: DataFrame |
             "btc_addresses": btc,
             "eth_addresses": eth,
             "contact_emails": C.contact_emails(c("body"), c("from_addr"), self_addresses),
-            "impersonated_brands": C.brands(F.concat_ws("\n", "subject", "body")),
+            "impersonated_brands": C.brands(F.concat_ws("\n", "from_name", "subject", "body")),
             "display_name": c("from_name"),
         }
     )

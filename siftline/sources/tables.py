@@ -8,15 +8,19 @@ from __future__ import annotations
 
 import datetime
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import columns as C
+from siftline.plans import messages as M
 
 #: Columns of the tables, in order (fixed values).
 SCHEMAS = {
+    "messages": M.COLUMNS,
+    "urls": M.URL_COLUMNS,
     "domain_enrichment": "domain registered_date registrar nameservers registrant_org registrant_country notes".split(),
     "ip_enrichment": "ip asn as_name isp org country country_code reverse_dns checked_date notes".split(),
     "wallet_enrichment": "address chain tx_count total_received balance first_seen last_seen checked_date explorer_url chainabuse_url notes".split(),
@@ -27,9 +31,14 @@ SCHEMAS = {
 TARGET_TYPES = ("wallet", "domain", "ip", "asn", "url", "email", "phone", "other")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
 
 
 def conform(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -67,6 +76,28 @@ def lists(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: C.split_list(F.col(c)) for c in columns})
 
 
+def replace(df: DataFrame, path: str) -> None:
+    """Write the Parquet table ``path`` anew, beside the old one first, so that ``df`` may read it and a failure leaves it as it was."""
+    spark = df.sparkSession
+    new = f"{path}.new-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    fs, old = _file_system(spark, path)
+    fs.delete(old, True)
+    if not fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new), old):
+        raise OSError(f"can't move {new} to {path}")
+
+
+def migrate(spark: SparkSession, path: str, columns: list[str]) -> bool:
+    """Give the Parquet table ``path`` the text columns that it lacks, blank for its rows; a column that is not known is an error."""
+    if not exists(spark, path):
+        return False
+    df = spark.read.parquet(path)
+    if df.columns == columns:
+        return False
+    replace(conform(df, columns), path)
+    return True
+
+
 # Append-only logs
 
 
@@ -113,17 +144,18 @@ def json_document(entries: dict[str, object], write: Callable[[str], object]) ->
     """One compact JSON document, passed to ``write`` piece by piece.
 
     An entry is a plain value, or rows and their order: ``(DataFrame, columns)``,
-    descending with a leading ``-``.  Rows are sorted by Spark and come to the
-    driver a partition at a time, so that only one partition is held.
+    descending with a leading ``-``, and after them names of columns that are
+    left out.  Rows are sorted by Spark and come to the driver a partition at a
+    time, so that only one partition is held.
     """
     for n, (name, value) in enumerate(entries.items()):
         write(("," if n else "{") + json.dumps(name) + ":")
         if not isinstance(value, tuple):
             write(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
             continue
-        df, order = value
+        df, order, *hidden = value
         rows = df.orderBy(*[F.desc(c[1:]) if c.startswith("-") else F.col(c) for c in order]) if order else df
-        text = rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("j"))
+        text = rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in sum(map(list, hidden), [])]), {"ignoreNullFields": "false"}).alias("j"))
         write("[")
         for i, row in enumerate(text.toLocalIterator()):
             write(("," if i else "") + row.j)

@@ -1,25 +1,66 @@
-"""Mail as a stream: new files of a folder are parsed once and appended to a table."""
+"""Mail appended to a message table: in one run over a folder, or as a stream of its new files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siftline.sources import mail
+from siftline.operators.graph import numbered
+from siftline.operators.scratch import drop, saved
+from siftline.plans import messages as M
+from siftline.sources import files, mail, tables
 
+#: ``seq`` of a batch's messages begins at the batch's number times this.
+BATCH_SEQ = 1 << 40
+_KIND = {c: "array<string>" for c in M.LISTS} | {c: "int" for c in M.NUMBERS} | {"list_unsubscribe": "boolean"}
+SCHEMA = ", ".join(f"{c} {_KIND.get(c, 'string')}" for c in M.COLUMNS) + ", seq long"
+URL_SCHEMA = "id string, seq long, position int, url string, domain string"
 
-def ingest(spark: SparkSession, root: str, table: str, checkpoint: str, self_addresses: list[str] = ()) -> StreamingQuery:
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of folders ``batch=N``; empty if there is none."""
+    if not tables.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema + ", batch int").option("basePath", path).parquet(path).drop("batch")
+
+
+def append(spark: SparkSession, root: str, table: str, urls: str | None = None, paths: list[str] | None = None, batch: int | None = None, self_addresses: list[str] = (), ages: DataFrame | None = None) -> DataFrame:
+    """Append the new messages of a folder, or of its files ``paths``, each id once; returns the run in numbers.
+
+    ``(category, messages)``: new messages by category, and under ``files``,
+    ``duplicates`` and ``unreadable`` what was scanned and what was left out.
+    Each message is parsed once.  A batch that is run again writes over its own
+    folder ``batch=N``, so no message comes twice.  Links go to the table ``urls``.
+    """
+    batch = files.next_batch(spark, table) if batch is None else batch
+    parsed = saved(mail.read_mail(spark, root, paths), "parsed")
+    found = saved(M.from_signals(mail.signals(parsed, self_addresses, ages)), "signals")
+    known = read_batches(spark, table, SCHEMA).where(~F.col("seq").between(batch * BATCH_SEQ, (batch + 1) * BATCH_SEQ - 1))
+    new = saved(numbered(mail.new_messages(found, known), [F.col("path"), F.col("position")], "seq", batch * BATCH_SEQ), "new")
+    new.select(*M.COLUMNS, "seq").write.mode("overwrite").parquet(f"{table}/batch={batch}")
+    if urls:
+        M.links(new).write.mode("overwrite").parquet(f"{urls}/batch={batch}")
+    n = F.count(F.lit(1)).alias("n")
+    new_rows, found_rows = new.agg(n).first().n, found.agg(n).first().n
+    of_files = parsed.agg(F.countDistinct("path").alias("n"), F.count("error").alias("broken")).first()
+    rows = [(r.category, r.n) for r in new.groupBy("category").agg(n).orderBy("category").collect()]  # a handful of categories
+    for copy in (parsed, found, new):
+        drop(copy)
+    return spark.createDataFrame([*rows, ("files", of_files.n), ("duplicates", found_rows - new_rows), ("unreadable", of_files.broken)], "category string, messages long")
+
+
+def ingest(spark: SparkSession, root: str, table: str, checkpoint: str, self_addresses: list[str] = (), urls: str | None = None, files_at_once: int = 10_000) -> StreamingQuery:
     """Append the messages of files that came since the last run to the Parquet table ``table``, each id once.
 
-    A batch that is run again after a failure writes over its own folder
-    ``batch=N``, so no message comes twice.
+    The stream carries names of files only, ``files_at_once`` at most to a
+    batch; their mail is read as in a single run, mailboxes in splits.
     """
-    files = spark.readStream.format("binaryFile").schema(mail.FILE).option("recursiveFileLookup", True).load(root)
-    fields = mail.signals(mail.parse_files(files, root), self_addresses).schema
+    stream = spark.readStream.format("binaryFile").schema(mail.FILE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_at_once).load(root)
 
     def write(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        known = s.read.schema(fields).option("recursiveFileLookup", True).parquet(*[f"{table}/batch={i}" for i in range(number)]) if number else None
-        mail.new_messages(mail.signals(mail.parse_files(batch, root), self_addresses), known).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        paths = [r.path for r in batch.collect()]  # files_at_once names at most
+        if paths:
+            append(batch.sparkSession, root, table, urls, paths, number, self_addresses)
 
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.select("path").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
