@@ -1,16 +1,10 @@
 """Shared helpers: scratch tables in the cluster's shared folder, row keys,
 batch slicing and tokenising.
-
-Scratch tables are Parquet files under ``spark.checkpoint.dir``; they cut the
-lineage of iterative jobs and survive the loss of executors.  They are removed
-by :func:`drop_scratch` or at the end of the driver process.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,53 +13,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.operators.graph import connected_components as connected_components
+from siftline.operators.scratch import saved as materialise
+
 #: Words everywhere are maximal runs of bytes outside this class; ``bytes.split()`` splits on exactly these.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for scratch tables; a local temporary one only where none is configured."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isDefined():
-            root = made.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="siftline-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/siftline-{name}-{uuid.uuid4().hex}"
-    if not _SCRATCH:
-        atexit.register(drop_scratch)
-    _SCRATCH.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch() -> None:
-    """Delete every scratch table that this process wrote."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may be gone at interpreter exit
-            return
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return memory that is free in this worker process to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``max_bytes`` in each; a single longer text stays whole."""
     for batch in batches:
         if not batch.num_rows:
@@ -76,6 +43,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: i
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+        give_back()
 
 
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -121,25 +89,3 @@ def unique_ids(docs: DataFrame, id_col: str = "doc_id") -> bool:
     """Whether no id is null and none comes twice.  Ids are counted by grouping, so nothing is gathered."""
     per = docs.groupBy(F.col(id_col).cast("long").alias("i")).agg(F.count(F.lit(1)).alias("n"))
     return not per.where("n > 1 OR i IS NULL").limit(1).count()
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``(u, label)`` for each node of ``edges(src, dst)``: the smallest node of its component.
-
-    Min-label hooking with pointer jumping (FastSV).  Every round is joins and
-    minimum aggregates with map-side combine; each result is written to the
-    shared folder, and rounds go on until nothing changes.
-    """
-    e = materialise(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")).where("u <> v")).distinct(), "edges")
-    f = materialise(e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "labels")
-    while True:
-        parent = f.select(F.col("u").alias("p"), F.col("p").alias("g"))
-        g = f.join(parent, "p").select("u", "p", "g")
-        near = e.join(g.select(F.col("u").alias("v"), "g"), "v").groupBy("u").agg(F.min("g").alias("m"))
-        both = g.join(near, "u").select("u", "p", "g", "m")
-        new = both.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.least("p", "g", "m").alias("c"), F.col("p").alias("o")), F.struct(F.col("p").alias("n"), F.col("m").alias("c"), F.lit(None).cast("long").alias("o")))).alias("x")).select("x.*")
-        nxt = materialise(new.groupBy("n").agg(F.min("c").alias("p"), F.max("o").alias("o")).select(F.col("n").alias("u"), "p", "o"), "labels")
-        changed = nxt.where("p <> o").limit(1).count()
-        f = nxt.select("u", "p")
-        if not changed:
-            return f.withColumnRenamed("p", "label")
