@@ -19,6 +19,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from math import exp, expm1, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -39,48 +41,63 @@ def features(words: set[str]) -> set[str]:
     return words | {w[:k] + "^" for w in words for k in STEMS if len(w) > k}
 
 
+#: Words of which a worker remembers the features; then it begins anew.
+REMEMBERED = 200_000
+
+
 class Model:
     """Weights of features, and the bias of a sentence."""
 
     def __init__(self, names: list[str], weights: np.ndarray, bias: float):
         self.weights, self.bias = dict(zip(names, weights.tolist())), float(bias)
-        self.gate = {x.rstrip("^")[: STEMS[0]] for x in names}  # a word has no feature unless it begins so
-
-    def logits(self, sentence: str) -> float:
-        gate, k = self.gate, STEMS[0]
-        found = features({w for w in WORDS.findall(sentence) if w[:k] in gate}) & self.weights.keys()
-        return self.bias + sum(self.weights[w] for w in sorted(found))
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
+    def of(self, words: list[str]) -> set[str]:
+        """Features of the words that have a weight."""
+        known, found = self.known, []
+        for w in words:
+            f = known.get(w)
+            if f is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                f = known[w] = tuple(features({w}) & self.weights.keys())
+            if f:
+                found += f
+        return set(found)
 
     def score(self, text: str, threshold: float) -> tuple[float, list[dict]]:
-        """The text's score and its sentences of at least ``threshold``."""
-        low, gate, k = text.lower(), self.gate, STEMS[0]
+        """The text's score and its sentences of at least ``threshold``, as runs of characters of ``text.lower()``."""
+        low, weights = text.lower(), self.weights
         n, at, logs, bad = 0, 0, 0.0, []
-        hits = features({w for w in WORDS.findall(low) if w[:k] in gate}) & self.weights.keys()
-        plain = np.log1p(np.exp(self.bias))
-        if not hits:
-            n = sum(1 for s in SENTENCE.split(low) if s.strip()) or 1
-            return float(-np.expm1(-n * plain)), []
-        for m in [*SENTENCE.finditer(low), None]:
+        plain = float(np.log1p(np.exp(self.bias)))
+        for m in chain(SENTENCE.finditer(low), (None,)):
             end = m.start() if m else len(low)
             s = low[at:end]
             if s.strip():
                 n += 1
-                z = self.logits(s)
-                if z == self.bias:
+                hits = self.of(WORDS.findall(s))
+                if not hits:
                     logs += plain
                 else:
-                    logs += float(np.logaddexp(0, z))
-                    p = 1 / (1 + np.exp(-z))
+                    z = self.bias + sum(weights[w] for w in sorted(hits))
+                    logs += max(z, 0.0) + log1p(exp(-abs(z)))
+                    p = 1 / (1 + exp(-z)) if z > -700 else 0.0
                     if p >= threshold:
-                        bad.append({"start": at, "end": end, "score": float(p)})
+                        bad.append({"start": at, "end": end, "score": p})
             at = m.end() if m else end
-        return float(-np.expm1(-logs)), bad
+        return -expm1(-(logs if n else plain)), bad
+
 
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_features: int = 2_048, min_docs: int = 5, steps: int = 400, l2: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """Fit on at most ``max_train`` labelled texts: those of ``labels(doc_id, label)`` with the smallest hash of their id.
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_features: int = 2_048, min_docs: int = 5, steps: int = 400, l2: float = 1e-4) -> Model | None:
-    """Fit on at most ``max_train`` labelled texts: those of ``labels(doc_id, label)`` with the smallest hash of their id."""
+    The driver gathers the features of these texts by sentence, and only of sentences that have one.
+    """
     sample = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    d = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select(F.col("label").cast("int").alias("label"), "text")  # max_train rows at most
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select(F.col("label").cast("int").alias("label"), "text")  # max_train rows at most
     d = materialise(d, "labelled")
     sums = {r["label"]: r["n"] for r in d.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sums.get(1, 0), sums.get(0, 0)
