@@ -11,14 +11,21 @@ cell, nothing that belongs to the result is missed with ``slack`` 1; with a
 smaller one radii count less, and fewer cells are read at some loss of recall.
 
 The codebooks are fitted on at most ``sample`` vectors, those with the smallest
-hash of their id; every vector is indexed.  Cells are packed into blocks of
-about ``block_rows`` vectors, large cells are split over several, and queries
-are dealt in parts of about ``query_rows``, so no task holds more than one of each at a time.
+hash of their id, and have about the square root of the number of vectors over
+64 centroids each, 16 to 256; every vector is indexed.  Cells are packed into
+blocks of about ``block_rows`` vectors, and large cells are split over several.
+Queries are sent to the blocks they need.  A block that more than
+``query_rows`` queries need is copied, once for each so many of them, and the
+queries are dealt over its copies, so no task holds more than one of each at a
+time, and vectors are only copied in proportion to the pairs of query and block.
+
+Scores are sums of products in the order of the components, in double precision.
 
 Defined results: vectors that are null, zero, of another length than most, or
-hold null or non-finite components take no part; a query with no candidate has
-no row; ties go to the smaller id; rows that repeat an id are one candidate,
-with its best score; an empty table gives an empty result; extra columns are ignored.
+hold null or non-finite components take no part (an inner product is defined
+between equal lengths only); a query with no candidate has no row; ties go to
+the smaller id; rows that repeat an id are one candidate, with its best score;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,7 +138,7 @@ class _Index:
         return found
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, centroids: int = 32, sample: int = 20_000, probe: int = 1_000, block_rows: int = 512, query_rows: int = 4_096, slack: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, centroids: int | None = None, sample: int = 20_000, probe: int = 1_000, block_rows: int = 512, query_rows: int = 16_384, slack: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` largest inner products of each row for which ``is_query`` holds over ``vec_id``, itself excepted."""
     spark = vectors.sparkSession
     v = usable(vectors, id_col, vector_col)
@@ -139,6 +146,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, centroids: int = 3
     got = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()  # sample rows at most
     if not got.num_rows:
         return empty
+    if centroids is None:
+        centroids = min(256, max(16, round((v.count() / 64) ** 0.5)))
     x = _matrix(got.column("v").combine_chunks())
     half = max(1, x.shape[1] // 2)
     books = tuple(codebook(np.ascontiguousarray(h), centroids) for h in (x[:, :half], x[:, half:]))
@@ -156,25 +165,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, centroids: int = 3
 
     rows = materialise(v.mapInArrow(assign, "vec_id long, v array<double>, cell int, r1 double, r2 double"), "index")
     index = _Index(books, rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r1").alias("r1"), F.max("r2").alias("r2")).collect(), block_rows, slack)  # centroids ** 2 rows at most
+    known = spark.sparkContext.broadcast(index)
     plan = spark.createDataFrame([(c, a, n) for c, (a, n) in index.blocks.items()], "cell int, at int, parts int")
-    queries = materialise(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("q")).withColumnRenamed("vec_id", "query_id"), "queries")
-    parts = max(1, -(-queries.count() // query_rows))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
     block = (F.col("at") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int")
-    stored = rows.join(F.broadcast(plan), "cell").select("vec_id", "v", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))  # centroids ** 2 rows at most
-    wanted = "query_id long, q array<double>, threshold double, block int"
-    names = ["query_id", "q", "threshold", "block"]
+    stored = rows.join(F.broadcast(plan), "cell").select("vec_id", "v", block.alias("block"))  # centroids ** 2 rows at most
+    queries = materialise(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("q")).withColumnRenamed("vec_id", "query_id"), "queries")
+    tasks = 2 * spark.sparkContext.defaultParallelism
 
     def route(second: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 m, t = _matrix(b.column("q")), b.column("threshold").to_pylist()
-                to = [index.probe(q, probe) for q in m]
+                to = [known.value.probe(q, probe) for q in m]
                 if second:
-                    to = [index.above(q, x) - first for q, x, first in zip(m, t, to)]
-                n = [len(x) for x in to]
-                take = pa.array(np.repeat(np.arange(len(to)), n))
-                yield pa.RecordBatch.from_arrays([b.column("query_id").take(take), b.column("q").take(take), b.column("threshold").take(take), pa.array([x for s in to for x in sorted(s)], pa.int32())], names=names)
+                    to = [known.value.above(q, x) - first for q, x, first in zip(m, t, to)]
+                take = pa.array(np.repeat(np.arange(len(to)), [len(x) for x in to]))
+                yield pa.RecordBatch.from_arrays([b.column("query_id").take(take), b.column("threshold").take(take), pa.array([x for s in to for x in sorted(s)], pa.int32())], names=["query_id", "threshold", "block"])
 
         return run
 
@@ -187,29 +193,51 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, centroids: int = 3
         qid, vid = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
         limit = left.column("threshold").to_numpy()
         by_id = np.argsort(vid, kind="stable")
-        m = m[by_id]
-        vid, starts = np.unique(vid[by_id], return_index=True)
+        m, vid = m[by_id], vid[by_id]
+        ids, starts = np.unique(vid, return_index=True)
+        ends = np.r_[starts[1:], len(vid)]
         out: list[tuple[np.ndarray, ...]] = []
         for a in range(0, len(q), 256):
             s = np.maximum.reduceat(q[a : a + 256] @ m.T, starts, axis=1)  # rows that repeat an id, before the cut to k
-            s[qid[a : a + 256, None] == vid[None, :]] = -np.inf
-            o = np.argsort(-s, axis=1, kind="stable")[:, : 2 * k]
-            best = np.take_along_axis(s, o, axis=1)
-            i, j = np.nonzero((best >= limit[a : a + 256, None]) & np.isfinite(best) & (best >= best[:, min(k, best.shape[1]) - 1][:, None]))
-            out.append((qid[a + i], vid[o[i, j]], best[i, j]))
+            s[qid[a : a + 256, None] == ids[None, :]] = -np.inf
+            least = -np.sort(-s, axis=1)[:, min(k, s.shape[1]) - 1]
+            low = np.maximum(limit[a : a + 256], least)
+            i, j = np.nonzero((s >= (low - 1e-9 * (1 + np.abs(low)))[:, None]) & np.isfinite(s))
+            reps = (ends - starts)[j]
+            row, col = np.repeat(i, reps), np.repeat(starts[j], reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
+            exact = np.cumsum(q[a + row] * m[col], axis=1)[:, -1]
+            best = np.maximum.reduceat(exact, np.cumsum(reps) - reps) if len(reps) else exact
+            out.append((qid[a + i], ids[j], best))
         return pa.Table.from_arrays([pa.array(np.concatenate([x[n] for x in out])) for n in range(3)], schema=hits)
 
-    def found(q: DataFrame) -> DataFrame:
-        sent = q.withColumn("part", part)
-        return sent.groupBy("block", "part").cogroup(stored.groupBy("block", "part")).applyInArrow(score, "query_id long, vec_id long, score double")
+    def found(q: DataFrame, second: bool) -> DataFrame:
+        """Hits of the blocks that each query is sent to."""
+        routed = materialise(q.repartition(tasks, "query_id").mapInArrow(route(second), "query_id long, threshold double, block int"), "routes")
+        copies = routed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("copies"))  # one row a block
+        copies = materialise(copies, "copies")
+        sent = routed.join(queries, "query_id").join(copies, "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int"))
+        held = stored.join(copies, "block").select("block", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"))
+        return sent.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(score, "query_id long, vec_id long, score double")
 
     def ranked(d: DataFrame) -> DataFrame:
         d = d.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return d.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
     lowest = F.lit(-1.7976931348623157e308)
-    one = materialise(ranked(found(queries.withColumn("threshold", lowest).mapInArrow(route(False), wanted))), "round1")
+    one = materialise(ranked(found(queries.withColumn("threshold", lowest), False)), "round1")
     limit = one.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
     again = queries.join(limit, "query_id", "left").select("query_id", "q", F.when(F.col("n") >= k, F.col("least")).otherwise(lowest).alias("threshold"))
-    two = found(again.mapInArrow(route(True), wanted))
-    return ranked(one.select("query_id", "vec_id", "score").unionByName(two)).select("query_id", "rank", "vec_id", "score")
+    return ranked(one.select("query_id", "vec_id", "score").unionByName(found(again, True))).select("query_id", "rank", "vec_id", "score")
+
+
+#: The same search in DuckDB SQL, with every pair of query and vector scored.
+SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT len(v) AS n FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+u AS (SELECT vec_id, v FROM v WHERE len(v) = (SELECT n FROM n)),
+q AS (SELECT vec_id AS query_id, min(v) AS q FROM u WHERE vec_id % 20 = 0 GROUP BY 1),
+s AS (SELECT query_id, vec_id, max(list_inner_product(q, v)) AS score FROM q, u WHERE vec_id <> query_id GROUP BY 1, 2),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
