@@ -2,6 +2,13 @@
 
 Each stage takes the documents that the stage before kept and returns the same
 columns, the last one the packed pieces.
+
+Defined results: a null text counts as empty: it is scored as an empty
+sentence, empty texts are copies of each other, and pack to the end token.  Of
+near duplicates the smallest id stays; rows that repeat an id and text are one
+row after that stage, and a null id is the smallest.  Texts of any length are
+read whole; an empty table gives empty results; extra columns pass through
+whatever their names, up to packing.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With a small cache of words: the workers live on beside the other stages' memory."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=150_000)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=150_000, quantum=256)
 
 
 STAGES = [

@@ -1,16 +1,27 @@
 """Mixture-controlled packing of tokenised documents into fixed windows.
 
-Each source is a queue of tokens.  Windows are filled by deficit round robin
-with a quantum of one token: the next token comes from the queue that lags most
-behind its target share, ties to the earlier queue.  As all queues must end
-together, a queue's share is its share of all tokens, and the k-th token of a
-queue of n is due at (k + 1/2) / n.  The place of any token in that order has a
-closed form, so deficits carry over windows and partitions without any task
-waiting for another: a task needs only the sizes of the queues and where its
-own documents start in them.
-
-Queues are sources, null last; beyond ``max_queues`` sources, queues are hash
-buckets of sources, which bounds what every task is given.
+Each source is a queue of tokens.  Windows are filled by deficit round robin:
+the next ``quantum`` tokens come from the queue that lags most behind its
+target share, ties to the earlier queue.  Targets are ``weights`` by source, or
+the sources' shares of all tokens, so that all queues end together; with
+weights, a queue that is used up leaves its share to the others.  The quantum
+that begins with the k-th token of a queue of weight w is due at
+(k + quantum / 2) / w.  The place of any token in that order has a closed form,
+so deficits carry over windows and partitions without any task waiting for
+another: a task needs only the sizes of the queues and where its own documents
+start in them.
+
+A quantum of one token holds the shares in every window to a token, and cuts
+documents into as many pieces as windows; a larger one cuts them into few
+pieces, and holds the shares of any run of windows to two quanta a queue.
+Inside a window, the tokens of one queue stand together.
+
+Every source, null last, is a queue, at any number of sources; the sizes of all
+queues are given to every task.  With ``max_queues``, beyond so many sources
+queues are hash buckets of sources instead, and shares hold by bucket.
+
+Ids of the word tokeniser are remembered by word only if a check shows that the
+tokenizer allows it, else whole texts are encoded.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
 documents of their own; an empty table gives an empty result; extra columns are
@@ -42,12 +53,21 @@ ENCODED = 2_000
 BROADCAST_ROWS = 200_000
 
 
+#: What a tokenizer must treat alike whole and in parts: cases, punctuation, marks, digits, accents and other scripts.
+PROBES = [
+    "Plain words, in a row. And MORE of Them!", "it's well-known: 3.14 and 1,000 or $5 (five) [x] {y} a/b a_b a@b.co #tag", "Größe straße ÑANDÚ déjà vu\nnext line\n\nlast", "a  b   c . , ! ? ... end.,!?",
+    "日本語 テキスト и русский текст العربية", "naïve cafe\u0301 \u00a0x\u2003y \u200bz", "UPPER lower MiXed I\u0307stanbul \u0130x", "tabs\tand\rreturns \x0b\x0c",
+]
+
+
 class WordTokeniser:
-    """Ids of texts, from a tokenizer that lower-cases, drops spaces and never joins letters with punctuation or over a space.
+    """Ids of texts, as little-endian numbers of ``width`` bytes.
 
-    Texts are cut at spaces and line feeds, and the ids of each part remembered
-    as little-endian 16-bit numbers.  A part of ASCII letters that ends in
-    punctuation is the ids of its letters, then of the punctuation.
+    Where the tokenizer gives a text the ids of its parts, cut at spaces and line
+    feeds, the ids of each part are remembered; and where ASCII letters and
+    punctuation after them never join, a part is the ids of its letters, then of
+    the punctuation.  Both are tested on ``PROBES`` at the start, and else texts
+    are encoded whole.
     """
 
     shared: dict[str, WordTokeniser] = {}
@@ -57,10 +77,12 @@ class WordTokeniser:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("token ids need more than 16 bits")
+        self.code = "H" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
         self.cache: dict[str, bytes] = {"": b""}
         self.most = CACHE
+        self.by_word = True
+        self.by_word = self.ids(PROBES) == self._whole(PROBES)
 
     @classmethod
     def at(cls, path: str) -> WordTokeniser:
@@ -69,7 +91,12 @@ class WordTokeniser:
             cls.shared[path] = cls(path)
         return cls.shared[path]
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+
     def ids(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self._whole(texts)
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         unseen = set().union(*parts).difference(self.cache)
         new = self._encode(unseen) if unseen else {}
@@ -91,63 +118,97 @@ class WordTokeniser:
         new = {}
         for i in range(0, len(need), ENCODED):
             some = need[i : i + ENCODED]
-            new.update((x, array("H", e.ids).tobytes()) for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
+            new.update((x, array(self.code, e.ids).tobytes()) for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
         find = lambda x: new[x] if x in new else self.cache[x]
         joined = {p: find(a) + find(b) for p, (a, b) in split.items()}
         return {x: v for x, v in new.items() if x not in self.cache} | joined
 
 
-def first_tokens(upto: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each prefix length in ``upto``, how many tokens of each queue (sizes ``n``) lie in that prefix of the order."""
-    total = int(n.sum())
-    c = np.floor(n[None, :] * (upto[:, None] / total) + 0.5).clip(0, n[None, :])
-    q, rows = len(n), np.arange(len(upto))
+class Queues:
+    """Sizes and target rates of the queues, and the quantum that is served at once."""
+
+    def __init__(self, n: np.ndarray, rate: np.ndarray | None = None, quantum: int = 1):
+        self.n = np.asarray(n, float)
+        self.rate = self.n if rate is None else np.asarray(rate, float)
+        self.q = quantum
+        self.blocks = np.ceil(self.n / quantum)
+        self.pace = self.rate / quantum  # blocks a unit of time
+        with np.errstate(divide="ignore"):
+            self.over = np.where(self.n > 0, self.n / self.rate, 0.0)  # when a queue is used up
+        order = np.argsort(self.over, kind="stable")
+        ends = self.over[order]
+        left = np.cumsum(self.rate[order][::-1])[::-1]  # rate of the queues that last to each end
+        self.times = np.r_[0.0, ends]
+        self.upto = np.r_[0.0, np.cumsum(np.diff(self.times) * left)]
+
+    def tokens(self, c: np.ndarray) -> np.ndarray:
+        """Tokens in the first ``c`` blocks of each queue."""
+        return np.minimum(c * self.q, self.n)
+
+
+def _queues(n: np.ndarray | Queues) -> Queues:
+    return n if isinstance(n, Queues) else Queues(n)
+
+
+def first_tokens(upto: np.ndarray, n: np.ndarray | Queues) -> np.ndarray:
+    """For each prefix length in ``upto``, how many tokens of each queue lie in that prefix of the order."""
+    z = _queues(n)
+    at = np.interp(upto, z.upto, z.times)
+    c = np.floor(z.pace[None, :] * at[:, None] + 0.5).clip(0, z.blocks[None, :])
+    q, rows = len(z.n), np.arange(len(upto))
 
     def last():
-        k = np.where(c > 0, (c - 0.5) / n, -np.inf)
+        k = np.where(c > 0, (c - 0.5) / z.pace, -np.inf)
         j = q - 1 - np.argmax(k[:, ::-1], axis=1)
         return j, k[rows, j]
 
     def following():
-        k = np.where(c < n, (c + 0.5) / n, np.inf)
+        k = np.where(c < z.blocks, (c + 0.5) / z.pace, np.inf)
         j = np.argmin(k, axis=1)
         return j, k[rows, j]
 
     while len(upto):
-        gap = c.sum(axis=1) - upto
+        gap = upto - z.tokens(c).sum(axis=1)  # tokens still to come
         (jl, kl), (jn, kn) = last(), following()
         wrong = (kl > kn) | ((kl == kn) & (jl > jn))
-        down, up = (gap > 0) | ((gap == 0) & wrong), (gap < 0) | ((gap == 0) & wrong)
+        size = np.minimum((c[rows, jn] + 1) * z.q, z.n[jn]) - np.minimum(c[rows, jn] * z.q, z.n[jn])
+        down, up = (gap < 0) | wrong, ((gap >= size) & (gap > 0) & (kn < np.inf)) | (wrong & (gap >= 0))
         if not (down.any() or up.any()):
             break
         c[rows[down], jl[down]] -= 1
         c[rows[up], jn[up]] += 1
-    return c.astype(np.int64)
+    out = z.tokens(c)
+    if len(upto):  # the rest of a prefix is the begin of the block after it
+        j, _ = following()
+        out[rows, j] += np.maximum(upto - out.sum(axis=1), 0)
+    return out.astype(np.int64)
 
 
-def places(queue: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+def places(queue: np.ndarray, k: np.ndarray, n: np.ndarray | Queues) -> np.ndarray:
     """Place in the order of the k-th tokens (from 0) of their queues."""
+    z = _queues(n)
     out = np.empty(len(k), np.int64)
-    step = max(1, 2_000_000 // len(n))
-    col = np.arange(len(n))[None, :]
+    step = max(1, 2_000_000 // len(z.n))
+    col = np.arange(len(z.n))[None, :]
     for a in range(0, len(k), step):
-        s, x = queue[a : a + step, None], k[a : a + step, None]
-        key = (x + 0.5) / n[s]
-        c = np.ceil(n[None, :] * key - 0.5).clip(0, n[None, :])
+        s, token = queue[a : a + step, None], k[a : a + step, None]
+        x = token // z.q
+        key = (x + 0.5) / z.pace[s]
+        c = np.ceil(z.pace[None, :] * key - 0.5).clip(0, z.blocks[None, :])
         while True:
-            back = (c - 0.5) / n
+            back = (c - 0.5) / z.pace
             over = (c > 0) & ((back > key) | ((back == key) & (col >= s)))
-            ahead = (c + 0.5) / n
-            under = (c < n) & ((ahead < key) | ((ahead == key) & (col < s)))
+            ahead = (c + 0.5) / z.pace
+            under = (c < z.blocks) & ((ahead < key) | ((ahead == key) & (col < s)))
             if not (over.any() or under.any()):
                 break
             c += under.astype(float) - over
         c[np.arange(len(s)), s[:, 0]] = x[:, 0]
-        out[a : a + step] = c.sum(axis=1).astype(np.int64)
+        out[a : a + step] = z.tokens(c).sum(axis=1).astype(np.int64) + (token - x * z.q)[:, 0]
     return out
 
 
-def cut(queue: np.ndarray, start: np.ndarray, length: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+def cut(queue: np.ndarray, start: np.ndarray, length: np.ndarray, n: Queues, window: int) -> tuple[np.ndarray, ...]:
     """Pieces of documents: their row, start in the document, length, window and offset in it."""
     first = places(queue, start, n) // window
     final = places(queue, start + length - 1, n) // window
@@ -161,11 +222,11 @@ def cut(queue: np.ndarray, start: np.ndarray, length: np.ndarray, n: np.ndarray,
         w[thin] = places(queue[row[thin]], start[row[thin]] + step[thin], n) // window
     row, w = np.unique(np.stack([row, w]), axis=1)
     seen, at = np.unique(np.concatenate([w, w + 1]), return_inverse=True)
-    total = int(n.sum())
+    total = int(n.n.sum())
     low, high = at[: len(w)], at[len(w) :]
     q = queue[row]
     a, b, off = (np.empty(len(w), np.int64) for _ in range(3))
-    step = max(1, 1_000_000 // len(n))
+    step = max(1, 1_000_000 // len(n.n))
     order = np.argsort(low, kind="stable")
     for i in range(0, len(order), step):
         o = order[i : i + step]
@@ -181,56 +242,64 @@ def cut(queue: np.ndarray, start: np.ndarray, length: np.ndarray, n: np.ndarray,
     return row, lo - start[row], hi - lo, w, off + lo - a
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cache_words: int = CACHE) -> DataFrame:
-    """``(doc_id, source, part, at, n, ids)``: ids as little-endian 16-bit numbers, ``at`` counts the tokens of the source before in the partition."""
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
-
-    end = np.array([end_id], "<u2").tobytes()
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cache_words: int = CACHE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``(doc_id, source, part, at, n, width, ids)``: ids as little-endian numbers of ``width`` bytes, ``at`` counts the tokens of the source before in the partition."""
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = WordTokeniser.at(tokenizer_path)
         t.most = cache_words
-        part, upto = TaskContext.get().partitionId(), {}
-        for b in sliced(batches, max_bytes=2 << 20):
+        part, upto, end = TaskContext.get().partitionId(), {}, array(t.code, [end_id]).tobytes()
+        for b in sliced(batches):
             at, n = [], []
             ids = [x + end for x in t.ids([x or "" for x in b.column("text").to_pylist()])]
             for s, x in zip(b.column("source").to_pylist(), ids):
                 at.append(upto.get(s, 0))
-                upto[s] = at[-1] + len(x) // 2
-                n.append(len(x) // 2)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.cast(b.column("source"), pa.string()), pa.array([part] * len(n), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+                n.append(len(x) // t.width)
+                upto[s] = at[-1] + n[-1]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.cast(b.column("source"), pa.string()), pa.array([part] * len(n), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array([t.width] * len(n), pa.int32()), pa.array(ids, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(run, "doc_id long, source string, part long, at long, n long, ids binary")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    return given.mapInArrow(run, "doc_id long, source string, part long, at long, n long, width int, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, max_queues: int = 4096, with_ids: bool = True, cache_words: int = CACHE) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, max_queues: int | None = None, with_ids: bool = True, cache_words: int = CACHE, quantum: int = 1,
+    weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])`` that fill windows of ``window`` tokens.
 
     Only the last window can be short.  ``ids`` are little-endian 32-bit numbers.
+    ``weights``: positive target weights by source; a source that is not named is an error.
     """
     spark = docs.sparkSession
-    tokens = materialise(tokenise(docs, tokenizer_path, end_id, cache_words), "tokens")
-    many = tokens.select("source").distinct().limit(max_queues + 1).count() > max_queues
+    tokens = materialise(tokenise(docs, tokenizer_path, end_id, cache_words, id_col, text_col, source_col), "tokens")
+    many = max_queues is not None and tokens.select("source").distinct().limit(max_queues + 1).count() > max_queues
+    if many and weights is not None:
+        raise ValueError("weights are by source: leave max_queues out")
     name = F.concat(F.lit("bucket"), F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string")) if many else F.col("source")
     sums = materialise(tokens.groupBy(name.alias("queue"), "source", "part").agg(F.sum("n").alias("n")), "queues")
-    sizes = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy(F.col("queue").asc_nulls_last()).collect()  # max_queues rows at most
+    sizes = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy(F.col("queue").asc_nulls_last()).collect()  # one row a queue
     if not sizes:
         return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else ""))
     index = {r["queue"]: i for i, r in enumerate(sizes)}
-    n = np.array([float(r["n"]) for r in sizes])
+    sizes_of = np.array([float(r["n"]) for r in sizes])
+    if weights is not None and any(weights.get(q, 0) <= 0 for q in index):
+        raise ValueError(f"no positive weight for {[q for q in index if weights.get(q, 0) <= 0]}")
+    n = Queues(sizes_of, None if weights is None else np.array([float(weights[q]) for q in index]), quantum)
     ahead = F.coalesce(F.sum("n").over(W.partitionBy("queue").orderBy("part", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = materialise(sums.select(F.col("source").alias("_s"), F.col("part").alias("_p"), "queue", ahead.alias("ahead")), "starts")
     if starts.count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
-    placed = tokens.join(starts, tokens["source"].eqNullSafe(starts["_s"]) & (tokens["part"] == starts["_p"])).select("doc_id", "queue", (F.col("ahead") + F.col("at")).alias("first"), "n", "ids")
+    placed = tokens.join(starts, tokens["source"].eqNullSafe(starts["_s"]) & (tokens["part"] == starts["_p"])).select("doc_id", "queue", (F.col("ahead") + F.col("at")).alias("first"), "n", "width", "ids")
     schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "ids", 2 << 20):
+        for b in sliced(batches, "ids"):
             queue = np.array([index[x] for x in b.column("queue").to_pylist()], np.int64)
             length = b.column("n").to_numpy()
             row, start, size, w, off = cut(queue, b.column("first").to_numpy(), length, n, window)
-            texts = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in b.column("ids").to_pylist()]
+            texts = [np.frombuffer(x, f"<u{k}").astype("<u4").tobytes() for x, k in zip(b.column("ids").to_pylist(), b.column("width").to_pylist())]
             ids = [texts[r][4 * s : 4 * (s + z)] for r, s, z in zip(row.tolist(), start.tolist(), size.tolist())]
             out = [pc.take(b.column("doc_id"), pa.array(row)), pa.array(start), pa.array(size), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(length[row]), pa.array(w), pa.array(off)]
             yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.binary())] * with_ids, schema=schema)
