@@ -4,8 +4,9 @@ A document classifier, logistic over binned shape figures of the text, gives
 each document a probability of being good.  Over a host, and over a path of a
 host, the mean of its documents' labels, or probabilities where there is none,
 is shrunk: the host's toward the global mean, the path's toward its host's
-posterior.  Strengths of shrinking are fitted by moments from how hosts differ
-beyond chance.  A document's score adds the log-odds by which its path departs
+posterior.  Strengths of shrinking are fitted by moments: the documents' own
+variance inside a path, over the variance of paths inside their hosts that is
+left when chance is taken off, and the same for hosts.  A document's score adds the log-odds by which its path departs
 from the global mean to the log-odds of its own evidence.
 
 Sums over hosts and paths are grouped aggregates with partial sums, so a host
@@ -83,12 +84,39 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> Evidence
     return Evidence(got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1), y)
 
 
-def _strength(m: float, n: float, groups: float, between: float, within: float) -> float:
-    """Prior strength by moments: the groups' variance beyond the binomial one, as m (1 - m) / (s + 1)."""
-    if groups < 2 or not 0 < m < 1:
-        return 10.0
-    extra = between - within
-    return float(min(1e6, max(1.0, m * (1 - m) / extra - 1))) if extra > 1e-12 else 1e6
+def strength(between: float, groups: float, spread: float, within: float, most: float = 1e6) -> float:
+    """How many documents a prior is worth: the variance of documents over that of group means, one-way analysis with unequal groups.
+
+    ``between``: the sum over groups of n (mean - mean of all)**2, which is
+    expected to be ``groups`` times the variance of documents, plus ``spread``
+    times that of the means; ``groups``: groups less those they are compared
+    within; ``spread``: the sum of n - n**2 / (n of all); ``within``: the variance of documents.
+    """
+    if groups < 1 or spread <= 0:
+        return 10.0  # nothing to compare
+    means = (between - groups * within) / spread
+    return float(min(most, max(1.0, within / means))) if means > 1e-12 else most
+
+
+def strengths(paths: DataFrame) -> tuple[float, float, float]:
+    """Global mean, and the strengths of hosts and of paths, from ``paths(host, path, good, square, n)``: sums by path."""
+    n, mean = F.col("n"), F.col("good") / F.col("n")
+    host = paths.groupBy("host").agg(
+        F.sum("good").alias("g"), F.sum("n").alias("m"), F.sum("square").alias("sq"), F.sum(F.col("good") * mean).alias("gg"), F.sum(n * n).alias("nn"), F.count(F.lit(1)).alias("k"),
+        F.sum(F.col("square") - F.col("good") * mean).alias("ss"),
+    )
+    hm = F.col("g") / F.col("m")
+    r = host.agg(
+        F.sum("g").alias("g"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("g") * hm).alias("gh"), F.count(F.lit(1)).alias("hosts"), F.sum("k").alias("paths"),
+        F.sum(F.col("gg") - F.col("g") * hm).alias("q_path"), F.sum(F.col("m") - F.col("nn") / F.col("m")).alias("s_path"), F.sum("ss").alias("in_path"), F.sum(F.col("sq") - F.col("g") * hm).alias("in_host"),
+    ).first()
+    if not r["m"]:
+        return 0.5, 10.0, 10.0
+    mean_all = r["g"] / r["m"]
+    var_path, var_host = (max(0.0, r[x]) / max(1, r["m"] - r[k]) for x, k in (("in_path", "paths"), ("in_host", "hosts")))
+    s_path = strength(r["q_path"], r["paths"] - r["hosts"], r["s_path"], var_path)
+    s_host = strength(r["gh"] - r["g"] * mean_all, r["hosts"] - 1, r["m"] - r["mm"] / r["m"], var_host)
+    return min(max(mean_all, 1e-6), 1 - 1e-6), s_host, s_path
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5, max_train: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,18 +136,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thr
     e = materialise(d.mapInArrow(run, "doc_id long, host string, path string, evidence double"), "evidence")
     given = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy(F.col("doc_id").alias("_i")).agg(F.avg(F.col("label").cast("double")).alias("label"))
     known = e.join(given, F.col("doc_id") == F.col("_i"), "left").select("host", "path", F.coalesce("label", "evidence").alias("good"))
-    paths = materialise(known.groupBy("host", "path").agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("n")), "paths")
+    paths = materialise(known.groupBy("host", "path").agg(F.sum("good").alias("good"), F.sum(F.col("good") * F.col("good")).alias("square"), F.count(F.lit(1)).alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    total = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).first()
-    m = (total["good"] or 0.0) / total["n"] if total["n"] else 0.5
-    m = min(max(m, 1e-6), 1 - 1e-6)
-
-    def strength(groups: DataFrame) -> float:
-        rate = F.col("good") / F.col("n")
-        r = groups.agg(F.avg((rate - m) ** 2).alias("between"), F.avg(F.lit(m * (1 - m)) / F.col("n")).alias("within"), F.count(F.lit(1)).alias("groups")).first()
-        return _strength(m, total["n"] or 0, r["groups"], r["between"] or 0.0, r["within"] or 0.0)
-
-    s_host, s_path = strength(hosts), strength(paths)
+    m, s_host, s_path = strengths(paths)
     hosts = hosts.select(F.col("host").alias("_h"), ((F.col("good") + s_host * m) / (F.col("n") + s_host)).alias("host_posterior"))
     sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("_h")))
     sites = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_posterior", ((F.col("good") + s_path * F.col("host_posterior")) / (F.col("n") + s_path)).alias("path_posterior"))
