@@ -5,8 +5,12 @@ labelled texts.  A text is cut into segments of a few words; a segment's
 log-likelihood under a language is the sum over its n-grams, divided by the
 n-gram length as they overlap.  Expectation maximisation estimates the
 language proportions of the text from its segments.  Languages are ranked by
-their proportions under all of them; of the nested sets of the first k, the one
-with the largest likelihood less half of log(segments) for each free proportion is chosen.
+their proportions under all of them, and the set grows by the next of that
+order, up to all learned languages, as long as the likelihood less
+log(segments + 1) / 2 + 1 for each free proportion rises.
+
+The likelihoods, 256 KB a language, are all that the driver gathers and sends
+to the tasks.
 
 Defined results: null texts and texts with no letter are ``und`` with score 0;
 with no labelled text at all every text is ``und``; texts of any length are
@@ -84,33 +88,47 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Colum
     return langs, (np.log(c / c.sum(axis=0)) / GRAM).astype(np.float32)
 
 
-def infer(ll: np.ndarray, ptr: np.ndarray, languages: int, rounds: int = 12, most: int = 4) -> np.ndarray:
-    """Proportions [document, language] of the chosen sets; ``ll``: [segment, language], ``ptr``: first segment of each document, all of which have some."""
-    size = np.diff(np.r_[ptr, len(ll)])
+def proportions(like: np.ndarray, ptr: np.ndarray, mask: np.ndarray, rounds: int = 12, still: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions [document, language] by expectation maximisation over the languages of ``mask``, and each document's log-likelihood.
+
+    ``like``: likelihoods [segment, language], ``ptr``: first segment of each
+    document.  Rounds end early when no proportion moves by ``still``.
+    """
+    size = np.diff(np.r_[ptr, len(like)])
     doc = np.repeat(np.arange(len(ptr)), size)
-    top = ll.max(axis=1)
-    like = np.exp(ll - top[:, None])
-
-    def em(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pi = mask / mask.sum(axis=1, keepdims=True)
-        for _ in range(rounds):
-            r = like * pi[doc]
-            r /= np.maximum(r.sum(axis=1), 1e-30)[:, None]
-            pi = np.add.reduceat(r, ptr, axis=0) / size[:, None]
-        fit = np.log(np.maximum((like * pi[doc]).sum(axis=1), 1e-30))
-        return pi, np.add.reduceat(fit, ptr)
-
-    pi, _ = em(np.ones((len(ptr), languages), np.float32))
+    pi = mask / mask.sum(axis=1, keepdims=True)
+    for _ in range(rounds):
+        r = like * pi[doc]
+        r /= np.maximum(r.sum(axis=1), 1e-30)[:, None]
+        new = np.add.reduceat(r, ptr, axis=0) / size[:, None]
+        moved = np.abs(new - pi).max(initial=0)
+        pi = new
+        if moved < still:
+            break
+    fit = np.log(np.maximum((like * pi[doc]).sum(axis=1), 1e-30))
+    return pi, np.add.reduceat(fit, ptr)
+
+
+def infer(ll: np.ndarray, ptr: np.ndarray, languages: int, rounds: int = 12, most: int | None = None) -> np.ndarray:
+    """Proportions [document, language] of the chosen sets; ``ll``: log-likelihoods [segment, language], ``ptr``: first segment of each document, all of which have some.
+
+    ``most``: languages of a set, all of them if none is given.
+    """
+    size = np.diff(np.r_[ptr, len(ll)])
+    like = np.exp(ll - ll.max(axis=1)[:, None])
+    pi, _ = proportions(like, ptr, np.ones((len(ptr), languages), np.float32), rounds)
     place = np.argsort(np.argsort(-pi, axis=1, kind="stable"), axis=1)
-    best, score = None, None
-    for k in range(1, min(most, languages) + 1):
-        p, fit = em((place < k).astype(np.float32))
-        fit = fit - 0.5 * np.log(size + 1) * (k - 1) - (k - 1)
-        if best is None:
-            best, score = p, fit
-        else:
-            up = fit > score
-            best[up], score[up] = p[up], fit[up]
+    best, score = proportions(like, ptr, (place < 1).astype(np.float32), 1)
+    active = np.arange(len(ptr))
+    for k in range(2, min(most or languages, languages) + 1):
+        part = np.repeat(ptr[active], size[active]) + np.arange(int(size[active].sum())) - np.repeat(np.cumsum(size[active]) - size[active], size[active])
+        p, fit = proportions(like[part], np.cumsum(size[active]) - size[active], (place[active] < k).astype(np.float32), rounds)
+        fit = fit - (0.5 * np.log(size[active] + 1) + 1) * (k - 1)
+        up = fit > score[active]
+        active = active[up]
+        best[active], score[active] = p[up], fit[up]
+        if not len(active):
+            break
     return best
 
 
@@ -119,7 +137,8 @@ def identify(docs: DataFrame, train: Column, segment_words: int = 4, max_train:
 
     Learned from rows for which ``train`` holds over the columns ``doc_id``, ``text`` and ``lang``.
     """
-    langs, table = fit(docs, id_col, text_col, lang_col, train, max_train)
+    langs, likelihoods = fit(docs, id_col, text_col, lang_col, train, max_train)
+    table = docs.sparkSession.sparkContext.broadcast(likelihoods)  # BUCKETS numbers a language
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", kind)])
 
@@ -133,7 +152,7 @@ def identify(docs: DataFrame, train: Column, segment_words: int = 4, max_train:
                 nth = np.arange(len(of_word)) - np.repeat(first, np.diff(np.r_[first, len(of_word)]))
                 segment = np.cumsum((nth % segment_words == 0).astype(np.int64)) - 1
                 of_gram = segment[word]
-                ll = np.add.reduceat(table[h], np.flatnonzero(np.r_[True, of_gram[1:] != of_gram[:-1]]), axis=0)
+                ll = np.add.reduceat(table.value[h], np.flatnonzero(np.r_[True, of_gram[1:] != of_gram[:-1]]), axis=0)
                 of_segment = of_word[np.flatnonzero(nth % segment_words == 0)]
                 ptr = np.flatnonzero(np.r_[True, of_segment[1:] != of_segment[:-1]])
                 pi = infer(ll, ptr, len(langs))
