@@ -12,7 +12,8 @@ source, size and hash, numbered inside their partition, and the offsets of the
 (partition, source) pairs are added from a small aggregate.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-last in order; repeated rows are documents of their own; an empty table gives
+last in order; repeated rows are documents of their own, those of one id and
+size in the order of a hash of their texts; an empty table gives
 an empty result; other columns pass through whatever their names.
 """
 
@@ -53,9 +54,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     columns, for :func:`emit`.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *([F.struct("*").alias("row")] if carry else []))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.col(text_col)).alias("t"), *([F.struct("*").alias("row")] if carry else []))
     d = d.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("h"), F.col("doc_id")]
+    if not carry:
+        d = materialise(d, "sizes")  # the range partitioner reads its input twice: words are counted once
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("h"), F.col("doc_id"), F.col("t")]
     d = materialise(d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("i", F.monotonically_increasing_id()), "mix")
     part = F.shiftright("i", 33)
     parts = d.groupBy("source", part.alias("part")).agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))

@@ -21,7 +21,7 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat", "base_failed", "kept")
+    return repetition.repetition(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op3_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,8 @@ def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False, quantum=256)
 
 
 QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_suffix_repetition, op3_simhash_ball, op4_seed_extend, op5_toxicity_mil, op6_inverted_multi_index, op7_site_quality, op8_systematic_mixing, op9_difference_cover, op10_mixture_packing)}
-SQL = {"op9_difference_cover": suffixes.SQL, "op4_seed_extend": substring.SQL, "op8_systematic_mixing": mixing.SQL}
+SQL = {"op2_suffix_repetition": repetition.SQL, "op6_inverted_multi_index": multiindex.SQL, "op9_difference_cover": suffixes.SQL, "op4_seed_extend": substring.SQL, "op8_systematic_mixing": mixing.SQL}

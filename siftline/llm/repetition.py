@@ -142,3 +142,20 @@ def repetition(docs: DataFrame, min_words: int = 5, max_fraction: float = 0.2, m
     r = d.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in longs) + ", spans array<struct<start: long, end: long>>")
     failed = (F.col("n_words") < min_total) | (100 * F.col("n_repeat_words") > round(100 * max_fraction) * F.col("n_words"))
     return r.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("longest_repeat") <= max_longest))
+
+
+#: The same counts and verdict in DuckDB SQL, with every window of five words, and of 101, compared inside its document.
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1)::BIGINT)) AS s FROM d),
+f AS (SELECT doc_id, w, s, count(*) OVER (PARTITION BY doc_id, array_to_string(w[s : s + 4], ' ')) AS k FROM p),
+c AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(s, s + 5)) AS i FROM f WHERE k > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, md5(array_to_string(w[s : s + 100], ' ')) AS h FROM f WHERE k > 1 AND s + 100 <= len(w)),
+g AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, h FROM l GROUP BY doc_id, h HAVING count(*) > 1)),
+n AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, g.doc_id IS NOT NULL AS long_repeat
+  FROM d JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN g ON d.doc_id = g.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT long_repeat AS kept FROM b
+"""
