@@ -214,10 +214,11 @@ CASE WHEN doc_id % 10 = 4 THEN cast(doc_id % 500 AS int) END AS age, cast(NULL A
 
 @query("WITH s AS (" + _SIGNALS.format(documents="documents") + """), p AS (SELECT *, CASE WHEN from_domain = 'news.substack.com' THEN 0 ELSE (CASE WHEN subject LIKE 'Final%' THEN 3 ELSE 0 END) + (CASE WHEN display_name <> '' THEN 3 ELSE 0 END)
 + (CASE reply_domain WHEN 'gmail.com' THEN 2 WHEN 'other.net' THEN 1 ELSE 0 END) + (CASE WHEN dmarc = 'fail' THEN 2 ELSE 0 END) + (CASE WHEN spf = 'softfail' THEN 1 ELSE 0 END) + (CASE WHEN dkim = 'fail' THEN 1 ELSE 0 END)
-+ (CASE WHEN age < 90 THEN 3 WHEN age < 365 THEN 1 ELSE 0 END) + (CASE WHEN from_domain LIKE '%.edu' THEN 2 ELSE 0 END) + (CASE WHEN n_mismatch > 0 THEN 2 ELSE 0 END) + n_wallets + (CASE WHEN f = 1 THEN 2 WHEN f = 2 THEN 1 ELSE 0 END) END AS points FROM s WHERE age IS NULL OR age <> 0)
++ (CASE WHEN age = 0 THEN 0 WHEN age < 90 THEN 3 WHEN age < 365 THEN 1 ELSE 0 END) + (CASE WHEN from_domain LIKE '%.edu' THEN 2 ELSE 0 END) + (CASE WHEN n_mismatch > 0 THEN 2 ELSE 0 END) + n_wallets + (CASE WHEN f = 1 THEN 2 WHEN f = 2 THEN 1 ELSE 0 END) END AS points FROM s)
 SELECT seq, points::INT AS scam_score, CASE WHEN from_domain = 'news.substack.com' THEN 'bulk_marketing' WHEN points >= 3 THEN 'likely_scam' WHEN points = 0 AND list_unsubscribe THEN 'bulk_marketing' ELSE 'review' END AS category FROM p""")
 def triage_scores(spark, sf_dir):
-    s = spark.sql(_SIGNALS, documents=table(spark, sf_dir, "documents")).where("age IS NULL OR age <> 0")
+    """All sender domains here are below their roots, whose ages are not known: an age of 0 counts as unknown."""
+    s = spark.sql(_SIGNALS, documents=table(spark, sf_dir, "documents"))
     urls = F.when(F.col("f") == 1, F.array(F.lit("http://xn--pypal.com/a"), F.lit("https://bit.ly/x"))).when(F.col("f") == 2, F.array(F.lit("https://bit.ly/x"))).otherwise(F.array(F.lit("https://plain.org/")))
     return triage(s.withColumn("flags", C.url_flags(urls))).select("seq", "scam_score", "category")
 
@@ -225,23 +226,29 @@ def triage_scores(spark, sf_dir):
 _WORDS = r"regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\s\"''<>)\]]+', ' ', 'gi'), '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', ' ', 'g'), '(?:\+?\d[\d\s\-.()]{7,18}\d)', ' ', 'g')), '[a-z0-9]+')"
 
 
-@query("WITH w AS (SELECT doc_id, " + _WORDS + """ AS w FROM documents WHERE text IS NOT NULL AND lang = 'en'), s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w)::BIGINT - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
-h AS (SELECT doc_id, ('0x' || substr(md5(s), 17, 16))::UBIGINT AS h FROM s), b AS (SELECT doc_id, i, sum(CASE WHEN (h >> i::UBIGINT) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, range(64) t(i) GROUP BY 1, 2)
-SELECT doc_id, lpad(lower(to_hex(sum(CASE WHEN v > 0 THEN 1::HUGEINT << i::INT ELSE 0 END)::UBIGINT)), 16, '0') AS fingerprint FROM b GROUP BY 1""")
+_VOTED = "WITH w AS (SELECT doc_id, " + _WORDS + """ AS w FROM documents WHERE text IS NOT NULL), s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w)::BIGINT - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+h AS (SELECT doc_id, ('0x' || substr(md5(s), 17, 16))::UBIGINT AS h FROM s), b AS (SELECT doc_id, i, sum(CASE WHEN (h >> i::UBIGINT) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, range(64) t(i) GROUP BY 1, 2),
+u AS MATERIALIZED (SELECT doc_id, sum(CASE WHEN v > 0 THEN 1::HUGEINT << i::INT ELSE 0 END)::UBIGINT AS u FROM b GROUP BY 1)
+"""
+
+
+@query(_VOTED + "SELECT doc_id, lpad(lower(to_hex(u)), 16, '0') AS fingerprint FROM u")
 def template_fingerprints(spark, sf_dir):
-    """English texts: only there do both engines' regular expressions agree on what a word is."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND lang = 'en'")
+    """Of all documents with a word."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     return templates.voted(d, "doc_id", F.col("text")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"))
 
 
-@query()
+@query(_VOTED + "SELECT d.doc_id, coalesce(lpad(lower(to_hex(u)), 16, '0'), repeat('0', 16)) AS fingerprint FROM documents d LEFT JOIN u ON d.doc_id = u.doc_id")
 def template_fingerprints_all(spark, sf_dir):
-    """All documents, zero without words; without SQL, as the engines' regular expressions differ outside English texts."""
+    """All documents, zero without words."""
     got = templates.fingerprints(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"))
 
 
-@query()
+@query("WITH RECURSIVE" + _VOTED.removeprefix("WITH") + """, f AS MATERIALIZED (SELECT doc_id, (CASE WHEN u >= 9223372036854775808 THEN u::HUGEINT - 18446744073709551616 ELSE u::HUGEINT END)::BIGINT AS fp FROM u WHERE u <> 0), n AS MATERIALIZED (SELECT DISTINCT fp FROM f),
+e AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM n a JOIN n b ON bit_count(xor(a.fp, b.fp)) <= 3), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT a AS fp, min(b) AS label FROM r GROUP BY a) SELECT doc_id, label, count(*) OVER (PARTITION BY label) AS size FROM f JOIN g ON f.fp = g.fp QUALIFY size > 1""")
 def template_clusters(spark, sf_dir):
     return templates.clusters(templates.fingerprints(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit(""))), "doc_id").select("doc_id", "label", "size")
 
