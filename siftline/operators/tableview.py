@@ -32,6 +32,22 @@ def mark_reported(df: DataFrame, log: DataFrame, column: str) -> DataFrame:
     return df.join(n, F.col(column) == F.col("target"), "left").withColumn("reported", F.col("target").isNotNull()).withColumn("actions", F.coalesce("actions", F.lit(0))).drop("target")
 
 
+def actions_of(df: DataFrame, log: DataFrame, column: str) -> DataFrame:
+    """Adds ``acted``: the actions ``(date, action, reference, status)`` whose ``target`` is the row's value, in the order of their dates."""
+    by = log.groupBy(F.col("target").alias("_t")).agg(F.array_sort(F.collect_list(F.struct("date", "action", "reference", "status"))).alias("acted"))
+    return df.join(by, F.col(column) == F.col("_t"), "left").drop("_t").withColumn("acted", F.coalesce("acted", F.array()))
+
+
+def bars(df: DataFrame, label: str, value: str, most: int = 8) -> DataFrame:
+    """``(label, value)`` of the largest values, as a bar chart shows them; ties by label."""
+    return df.select(F.col(label).alias("label"), F.col(value).alias("value")).orderBy(F.desc("value"), "label").limit(most)
+
+
+def stacked(df: DataFrame, over: str, parts: list[str]) -> DataFrame:
+    """``(over, part, value)``: the parts of each row of a stacked chart, from one column each."""
+    return df.select(F.col(over), F.inline(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("value")) for p in parts])))
+
+
 def pills(values: Column, most: int = 6) -> Column:
     """The first values, then how many more there are."""
     rest = F.size(values) - most
