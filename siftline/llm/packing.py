@@ -81,8 +81,11 @@ class WordTokeniser:
         self.width = array(self.code).itemsize
         self.cache: dict[str, bytes] = {"": b""}
         self.most = CACHE
-        self.by_word = True
-        self.by_word = self.ids(PROBES) == self._whole(PROBES)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content for t in added]
+        self.by_word = not any(t.lstrip or t.rstrip or t.content.split() != [t.content] for t in added)
+        if self.by_word:
+            self.by_word = self.ids(PROBES) == self._whole(PROBES)
 
     @classmethod
     def at(cls, path: str) -> WordTokeniser:
@@ -109,9 +112,12 @@ class WordTokeniser:
         return out
 
     def _encode(self, unseen: set[str]) -> dict[str, bytes]:
-        split = {}
+        split, special = {}, [x.lower() for x in self.special]
         for p in unseen:
             low = p.lower() if p.isascii() else p
+            if any(x in low for x in special):  # added tokens are found before cases are folded
+                split[p] = (p, "")
+                continue
             stem = low.rstrip(".,!?")
             split[p] = (stem, low[len(stem) :]) if stem != low and stem.isascii() and stem[-1:].isalpha() else (low, "")
         need = list({x for pair in split.values() for x in pair}.difference(self.cache))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, multiindex, packing, repetition, simhash, site_bayes, substring, suffixes, toxicity
+from . import conversations, language, mixing, multiindex, packing, repetition, simhash, site_bayes, spelling, substring, suffixes, token_counts, toxicity
 from .common import read
 
 
@@ -64,5 +64,20 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False, quantum=256)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_suffix_repetition, op3_simhash_ball, op4_seed_extend, op5_toxicity_mil, op6_inverted_multi_index, op7_site_quality, op8_systematic_mixing, op9_difference_cover, op10_mixture_packing)}
+def op11_errata_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return conversations.summary(conversations.damage(rows), rows)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_suffix_repetition, op3_simhash_ball, op4_seed_extend, op5_toxicity_mil, op6_inverted_multi_index, op7_site_quality, op8_systematic_mixing, op9_difference_cover, op10_mixture_packing, op11_errata_trie, op12_conversation_repair, op13_token_counts)}
 SQL = {"op2_suffix_repetition": repetition.SQL, "op6_inverted_multi_index": multiindex.SQL, "op9_difference_cover": suffixes.SQL, "op4_seed_extend": substring.SQL, "op8_systematic_mixing": mixing.SQL}
