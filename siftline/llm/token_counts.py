@@ -11,8 +11,8 @@ Normalising folds A-Z and squeezes ASCII white space only where the tokenizer
 gives ``PROBES`` the same ids either way; a text that holds one of its added
 tokens, in any case, is taken as it is.
 
-Texts to encode move to other tasks once; where few are missing they don't move
-at all, as a small table of missing digests goes to all tasks instead.
+Texts move to other tasks once.  With a warm cache, when at most one digest in
+ten is missing and these are few enough for a broadcast, they don't move at all.
 
 Defined results: a null text counts as empty, and an empty text has no tokens;
 rows that repeat an id or a text each get their count; a null id stays null; an
@@ -151,10 +151,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     cache = cache or f"{folder(spark)}/siftline-token-cache-{uuid.uuid4().hex}"
     own = materialise(_digests(docs, tokenizer_path, False, id_col, text_col), "digests")
     distinct = own.groupBy("digest").agg(F.min("doc_id").alias("of"))
-    missing = materialise(distinct.join(read_cache(spark, cache, of).select("digest"), "digest", "left_anti").withColumnRenamed("digest", "_d"), "missing")
+    stored = read_cache(spark, cache, of).select("digest", F.lit(True).alias("known"))
+    asked = materialise(distinct.join(stored, "digest", "left").select(F.col("digest").alias("_d"), "of", "known"), "asked")
+    missing = asked.where("known IS NULL").drop("known")
     n = missing.count()
     if n:
-        wanted = F.broadcast(missing) if n <= BROADCAST_ROWS else missing
+        wanted = F.broadcast(missing) if n <= min(BROADCAST_ROWS, asked.count() // 10) else missing
         texts = _digests(docs, tokenizer_path, True, id_col, text_col)
         found = texts.join(wanted, (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("digest", "text")
         _encoded(found, tokenizer_path).write.mode("append").parquet(f"{cache.rstrip('/')}/version={of}")

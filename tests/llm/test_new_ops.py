@@ -262,9 +262,10 @@ def test_token_cache_is_read(spark, tmp_path):
         token_counts.Counter("x.txt")
 
 
-def test_counts_with_a_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(token_counts, "BROADCAST_ROWS", 0)
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, WORDS).collect()}
+def test_counts_with_a_warm_cache(spark, tmp_path):
+    """A few missing texts are found by a broadcast."""
+    docs, cache = spark.read.parquet(f"{SF}/documents.parquet"), str(tmp_path / "cache")
+    assert token_counts.count_tokens(docs.where("doc_id % 20 > 0"), WORDS, cache).count() > 100
     rows = docs.collect()
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, WORDS, cache).collect()}
     assert got == dict(zip([r.doc_id for r in rows], library_counts([r.text for r in rows])))
