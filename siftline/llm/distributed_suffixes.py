@@ -19,6 +19,7 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.operators.graph import numbered
@@ -80,19 +81,39 @@ def suffix_order(symbols: DataFrame) -> DataFrame:
     return out
 
 
+def _runs(ordered: DataFrame) -> DataFrame:
+    """``(rid, start, run)`` of ``(rid, start, rank, prefix)``: neighbours in the order of ``rank`` with one prefix share a run.
+
+    Each task compares the neighbours of its range; the last row of each range
+    is handed to the next, and runs are counted on from range to range.
+    """
+    d = materialise(ordered.orderBy("rank").withColumn("part", F.spark_partition_id()), "sorted")
+    inside = W.partitionBy("part").orderBy("rank")
+    last = d.groupBy("part").agg(F.max_by("prefix", "rank").alias("last"))  # one row a range
+    handed = last.select("part", F.lag("last").over(W.orderBy("part")).alias("handed"))
+    before = F.coalesce(F.lag("prefix").over(inside), F.col("handed"))
+    d = d.join(F.broadcast(handed), "part").withColumn("new", F.when(before == F.col("prefix"), 0).otherwise(1))
+    d = materialise(d.select("rid", "start", "part", F.sum("new").over(inside).alias("run")), "runs")
+    ends = d.groupBy("part").agg(F.max("run").alias("n"))
+    ahead = ends.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    return d.join(F.broadcast(ahead), "part").select("rid", "start", (F.col("run") + F.col("ahead")).alias("run"))
+
+
 def repeated_starts(texts: DataFrame, length: int = 50) -> DataFrame:
     """``(rid, start, least)``: every string of ``length`` bytes of ``texts(rid, text)``, with the smallest ``rid`` that has it.
 
     Texts lie end to end, each closed by a number of its own, so no string
-    crosses them.  Neighbours in the order are compared over ``length`` bytes.
+    crosses them.  Neighbours in the order are compared over ``length`` bytes,
+    and a run of equal ones has the least ``rid`` of its rows.  A null text is
+    empty; rows of one ``rid`` are texts of their own that count as one document.
     """
-    t = materialise(numbered(texts.select("rid", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b")), [F.col("rid")], "k"), "texts")
+    t = materialise(numbered(texts.select("rid", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b")), [F.col("rid"), F.col("b")], "k"), "texts")
     bytes_ = t.select("rid", "k", F.posexplode(F.sequence(F.lit(0), F.octet_length("b"))).alias("start", "_x"), "b")
     value = F.when(F.col("start") < F.octet_length("b"), F.conv(F.hex(F.expr("substring(b, start + 1, 1)")), 16, 10).cast("long") + 1).otherwise(F.col("k") + 257)
-    prefix = F.expr(f"substring(b, start + 1, {length})")
-    s = numbered(bytes_.select("rid", "k", "start", value.alias("c"), prefix.alias("prefix")), [F.col("k"), F.col("start")], "pos")
-    s = materialise(s, "bytes")
+    s = materialise(numbered(bytes_.select("rid", "k", "start", value.alias("c")), [F.col("k"), F.col("start")], "pos"), "bytes")
     order = suffix_order(s.select("pos", "c"))
-    d = materialise(s.join(order, "pos").where(F.octet_length("prefix") == length).select("rid", "start", "rank", "prefix"), "sorted")
-    least = d.groupBy("prefix").agg(F.min("rid").alias("least"))  # equal prefixes are neighbours in the order
-    return d.join(least, "prefix").select("rid", "start", "least")
+    placed = s.join(order, "pos").select(F.col("k").alias("_k"), F.col("start").alias("_s"), "rank")
+    prefix = bytes_.where(F.col("start") <= F.octet_length("b") - length).select("rid", "k", "start", F.expr(f"substring(b, start + 1, {length})").alias("prefix"))
+    ordered = prefix.join(placed, (F.col("k") == F.col("_k")) & (F.col("start") == F.col("_s"))).select("rid", "start", "rank", "prefix")
+    runs = materialise(_runs(ordered), "numbered")
+    return runs.join(runs.groupBy("run").agg(F.min("rid").alias("least")), "run").select("rid", "start", "least")

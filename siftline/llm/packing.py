@@ -17,8 +17,7 @@ pieces, and holds the shares of any run of windows to two quanta a queue.
 Inside a window, the tokens of one queue stand together.
 
 Every source, null last, is a queue, at any number of sources; the sizes of all
-queues are given to every task.  With ``max_queues``, beyond so many sources
-queues are hash buckets of sources instead, and shares hold by bucket.
+queues are given to every task.
 
 Ids of the word tokeniser are remembered by word only if a check shows that the
 tokenizer allows it, else whole texts are encoded.
@@ -270,7 +269,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cache_words:
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, max_queues: int | None = None, with_ids: bool = True, cache_words: int = CACHE, quantum: int = 1,
+    docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, cache_words: int = CACHE, quantum: int = 1,
     weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])`` that fill windows of ``window`` tokens.
@@ -280,11 +279,7 @@ def pack(
     """
     spark = docs.sparkSession
     tokens = materialise(tokenise(docs, tokenizer_path, end_id, cache_words, id_col, text_col, source_col), "tokens")
-    many = max_queues is not None and tokens.select("source").distinct().limit(max_queues + 1).count() > max_queues
-    if many and weights is not None:
-        raise ValueError("weights are by source: leave max_queues out")
-    name = F.concat(F.lit("bucket"), F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string")) if many else F.col("source")
-    sums = materialise(tokens.groupBy(name.alias("queue"), "source", "part").agg(F.sum("n").alias("n")), "queues")
+    sums = materialise(tokens.groupBy(F.col("source").alias("queue"), "source", "part").agg(F.sum("n").alias("n")), "queues")
     sizes = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy(F.col("queue").asc_nulls_last()).collect()  # one row a queue
     if not sizes:
         return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else ""))

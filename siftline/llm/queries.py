@@ -61,7 +61,16 @@ def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False, quantum=256)
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def packing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing with target weights 5, 2, 1, repeating, by source in order of code points; a null source comes last."""
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents")
+    sources = [r.source for r in docs.select("source").distinct().orderBy(F.col("source").asc_nulls_last()).collect()]  # one row a source
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, weights={s: float((5, 2, 1)[i % 3]) for i, s in enumerate(sources)})
 
 
 def op11_errata_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +88,5 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_suffix_repetition, op3_simhash_ball, op4_seed_extend, op5_toxicity_mil, op6_inverted_multi_index, op7_site_quality, op8_systematic_mixing, op9_difference_cover, op10_mixture_packing, op11_errata_trie, op12_conversation_repair, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_suffix_repetition, op3_simhash_ball, op4_seed_extend, op5_toxicity_mil, op6_inverted_multi_index, op7_site_quality, op8_systematic_mixing, op9_difference_cover, op10_mixture_packing, op11_errata_trie, op12_conversation_repair, op13_token_counts, packing_to_weights)}
 SQL = {"op2_suffix_repetition": repetition.SQL, "op6_inverted_multi_index": multiindex.SQL, "op9_difference_cover": suffixes.SQL, "op4_seed_extend": substring.SQL, "op8_systematic_mixing": mixing.SQL}

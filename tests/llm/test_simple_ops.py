@@ -190,7 +190,34 @@ def test_packing(docs, messy, none, rows):
     n = sum(total.values())
     assert all(abs(share[s] - 256 * total[s] / n) <= 2 for s in total)
     assert packing.pack(messy, TOKENIZER).count() > 0 and packing.pack(none, TOKENIZER).count() == 0
-    assert packing.pack(docs, TOKENIZER, max_queues=3).agg(F.sum("length")).first()[0] == n
+
+
+def windows(pieces, docs):
+    """Tokens of each source in each full window, in order, and of each source in all."""
+    by = pieces.join(docs.select("doc_id", "source"), "doc_id").groupBy("sequence_id", "source").agg(F.sum("length").alias("n")).collect()
+    out, total = defaultdict(Counter), Counter()
+    for r in by:
+        out[r.sequence_id][r.source] += r.n
+        total[r.source] += r.n
+    return [out[k] for k in sorted(out) if sum(out[k].values()) == 2048], total
+
+
+def test_packing_query_holds_shares_in_every_window(spark):
+    sf = "/root/testdata/sf0.01"
+    full, total = windows(queries.op10_mixture_packing(spark, sf), spark.read.parquet(f"{sf}/documents.parquet"))
+    n = sum(total.values())
+    assert len(full) > 400 and all(abs(w[s] - 2048 * total[s] / n) <= 2 for w in full for s in total)
+
+
+def test_packing_query_holds_weights(spark):
+    """Until a queue is used up, every window has each source at its target weight, at most two tokens off."""
+    sf = "/root/testdata/sf0.01"
+    full, total = windows(queries.packing_to_weights(spark, sf), spark.read.parquet(f"{sf}/documents.parquet"))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(total))}
+    rate = 2048 / sum(weight.values())
+    first_end = int(min(total[s] / (weight[s] * rate) for s in total))
+    assert first_end > 20 and all(abs(w[s] - weight[s] * rate) <= 2 for w in full[: first_end - 1] for s in total)
+    assert any(abs(w[s] - weight[s] * rate) > 2 for w in full[first_end + 1 :] for s in total)
 
 
 def test_token_order():
