@@ -1,8 +1,8 @@
 """A folder of tables from mail to report: ingest, lookups, logs, and the report.
 
-Messages and links are appended by batch, ``messages/batch=N``; a batch that is
-run again after a failure writes over its own folders.  Dimensions are replaced
-whole, written beside the old table first.  Actions and triage marks are logs.
+Messages and links are appended by writer and batch, ``messages/run=R/batch=N``.
+Dimensions are replaced whole, written beside the old table first.  Actions and
+triage marks are logs.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from siftline.operators.scratch import drop, saved
 from siftline.plans import enrichment as E
@@ -42,13 +43,13 @@ class Store:
 
     def typed(self) -> DataFrame:
         """The message table as it is stored, with ``seq``."""
-        return ingest.read_batches(self.spark, self.path("messages"), ingest.SCHEMA)
+        return ingest.read_messages(self.spark, self.path("messages"))
 
     def messages(self) -> DataFrame:
         return M.relation(self.typed())
 
     def urls(self) -> DataFrame:
-        return ingest.read_batches(self.spark, self.path("urls"), ingest.URL_SCHEMA)
+        return ingest.read_links(self.spark, self.path("urls"), self.path("messages"))
 
     def table(self, name: str) -> DataFrame:
         """A dimension or log; empty if it was never written."""
@@ -70,12 +71,17 @@ class Store:
         """Append the new mail of a folder; ``archive``: a folder to which the files that were read move, zipped by day."""
         paths = files.mail_files(self.spark, root) if archive else None
         ages = E.domain_ages(self.table("domain_enrichment"))
-        run = ingest.append(self.spark, root, self.path("messages"), self.path("urls"), paths, None, self.own, ages) if paths != [] else self.spark.createDataFrame([], "category string, messages long")
+        run = ingest.append(self.spark, root, self.path("messages"), self.path("urls"), paths, self.own, ages) if paths != [] else self.spark.createDataFrame([], "category string, messages long")
         if archive:
             files.archive(self.spark, paths, root, archive, day or datetime.date.today().isoformat())
             files.zip_days(self.spark, archive)
         return run
 
+    def stream(self, root: str, checkpoint: str, files_at_once: int = 10_000) -> StreamingQuery:
+        """Append the mail that came to a folder since the stream's last run; ages are those known when a batch begins."""
+        ages = lambda: E.domain_ages(self.table("domain_enrichment"))
+        return ingest.ingest(self.spark, root, self.path("messages"), checkpoint, self.own, self.path("urls"), files_at_once, ages)
+
     # Lookups
 
     def look_up_ips(self, client: Callable, checked: str, recheck: bool = False, limit: int = 0, delay: float = 4.5) -> int:

@@ -1,4 +1,4 @@
-"""Files of the input: numbers of batches, and the archive of files that were read.
+"""Files of the input: numbers of writers, and the archive of files that were read.
 
 All of it goes through Hadoop's file systems on the driver, and moves names, not rows.
 """
@@ -17,13 +17,39 @@ def _at(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def next_batch(spark: SparkSession, table: str) -> int:
-    """One more than the largest ``batch=N`` of a table; 0 for the first."""
-    fs, where = _at(spark, table)
+def claim_run(spark: SparkSession, table: str) -> int:
+    """A number that no other writer of ``table`` has or will have; the next one, kept as an empty file ``_runs/N``."""
+    fs, where = _at(spark, f"{table}/_runs")
+    fs.mkdirs(where)
+    n = max([int(s.getPath().getName()) + 1 for s in fs.listStatus(where) if s.getPath().getName().isdigit()], default=0)
+    while True:
+        place = _at(spark, f"{table}/_runs/{n}")[1]
+        try:
+            fs.create(place, False).close()  # fails if another writer was first
+            return n
+        except Exception:
+            if not fs.exists(place):
+                raise
+            n += 1
+
+
+def read_number(spark: SparkSession, path: str) -> int | None:
+    """The number that a small file holds; none without the file."""
+    fs, where = _at(spark, path)
     if not fs.exists(where):
-        return 0
-    names = [s.getPath().getName() for s in fs.listStatus(where)]
-    return max([int(n[6:]) + 1 for n in names if re.fullmatch(r"batch=\d+", n)], default=0)
+        return None
+    source = fs.open(where)
+    try:
+        return int(bytes(source.readNBytes(32)).decode())
+    finally:
+        source.close()
+
+
+def write_number(spark: SparkSession, path: str, number: int) -> None:
+    fs, where = _at(spark, path)
+    out = fs.create(where, True)
+    out.writeBytes(str(number))
+    out.close()
 
 
 def mail_files(spark: SparkSession, root: str) -> list[str]:

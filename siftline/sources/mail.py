@@ -109,14 +109,27 @@ def parse_records(records: DataFrame, root: str) -> DataFrame:
     return records.select("path", source_tag(F.col("path"), root).alias("source"), "block", "content").mapInArrow(run, PARSED)
 
 
+def _scan(reader, where: list[str] | str, root: str) -> DataFrame:
+    """Mail that a batch or stream reader finds; ``reader(format, glob)`` makes one."""
+    files, boxes = reader("binaryFile", "*.[eE][mM][lL]"), reader("text", "*.[mM][bB][oO][xX]").option("lineSep", "\nFrom ")
+    one = files.schema(FILE).load(where).select(F.col("_metadata.file_path").alias("path"), "content")
+    many = boxes.load(where).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("content"))
+    return parse_files(one, root).unionByName(parse_records(many, root))
+
+
 def read_mail(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
     """All mail below the folder ``root``, or that of the files ``paths`` in it."""
-    where = [root] if paths is None else paths
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[eE][mM][lL]").load(where)
-    boxes = spark.read.format("text").option("lineSep", "\nFrom ").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][bB][oO][xX]").load(where)
-    one = files.select(F.col("_metadata.file_path").alias("path"), "content")
-    many = boxes.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("content"))
-    return parse_files(one, root).unionByName(parse_records(many, root))
+    return _scan(lambda kind, glob: spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", glob), [root] if paths is None else paths, root)
+
+
+def stream_mail(spark: SparkSession, root: str, files_at_once: int) -> DataFrame:
+    """The mail of files that come to the folder ``root``, as a stream; single mails and mailboxes, ``files_at_once`` of each in a batch."""
+    return _scan(lambda kind, glob: spark.readStream.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_at_once), root, root)
+
+
+def message_key() -> Column:
+    """The id of a parsed message."""
+    return C.message_id(*[F.col(c) for c in ("message_id", "date", "sender", "raw_subject")])
 
 
 def signals(parsed: DataFrame, self_addresses: list[str] = (), ages: DataFrame | None = None) -> DataFrame:
@@ -125,7 +138,7 @@ def signals(parsed: DataFrame, self_addresses: list[str] = (), ages: DataFrame |
     btc, eth = C.wallets(c("body"))
     d = parsed.where("error IS NULL").withColumns(
         {
-            "id": C.message_id(c("message_id"), c("date"), c("sender"), c("raw_subject")),
+            "id": message_key(),
             **{x: C.auth_result(c("auth"), x) for x in ("dkim", "spf", "dmarc")},
             "originating_ips": C.received_ips(F.array_join("received", "\n")),
             "urls": F.array_distinct(F.concat("links", C.urls(c("body")))),

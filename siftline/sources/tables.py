@@ -77,14 +77,29 @@ def lists(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write the Parquet table ``path`` anew, beside the old one first, so that ``df`` may read it and a failure leaves it as it was."""
+    """Write the Parquet table ``path`` anew, so that ``df`` may read it.
+
+    The new table is written beside the old one, which is moved aside, and is
+    deleted only when the new one has its name; if that fails, the old one gets
+    its name back.
+    """
     spark = df.sparkSession
-    new = f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    fs, old = _file_system(spark, path)
-    fs.delete(old, True)
-    if not fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new), old):
-        raise OSError(f"can't move {new} to {path}")
+    at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    new, aside = (at(f"{path}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
+    df.write.parquet(new.toString())
+    fs, place = _file_system(spark, path)
+    had = fs.exists(place)
+    if had and not fs.rename(place, aside):
+        raise OSError(f"can't move {path} aside")
+    try:
+        if not fs.rename(new, place):
+            raise OSError(f"can't move {new.toString()} to {path}")
+    except Exception:
+        if had:
+            fs.rename(aside, place)
+        raise
+    if had:
+        fs.delete(aside, True)
 
 
 def migrate(spark: SparkSession, path: str, columns: list[str]) -> bool:

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import parsing
-from siftline.sources import mail
+from siftline.plans.store import Store
+from siftline.sources import mail, tables
 from siftline.streaming.ingest import ingest
 
 SCAM = b"""Message-ID: <a@x>
@@ -88,3 +89,84 @@ def test_context():
 
 def test_plain():
     assert parsing.plain("pay​pаl name (at) site (dot) com") == "paypal name@site.com"
+
+
+def test_writers_keep_each_others_mail(spark, folder):
+    """A run, a stream, a run, the stream again, the stream without its checkpoint: every id once, each with its links, ``seq`` never twice."""
+    store = Store(spark, f"file://{folder}/store")
+    root, inbox = f"file://{folder}/in", folder / "in"
+
+    def mail_of(n, link="http://l.example/"):
+        return PLAIN.replace(b"hi", b"subject %d" % n).replace(b"body", b"see " + link.encode() + b"%d" % n)
+
+    def stream(checkpoint="c"):
+        store.stream(root, f"file://{folder}/{checkpoint}", files_at_once=2).awaitTermination(180)
+
+    def state():
+        rows = store.typed().select("id", "seq").collect()
+        assert len({r.id for r in rows}) == len({r.seq for r in rows}) == len(rows)
+        links = store.urls().groupBy("id").count().collect()
+        return len(rows), sum(r["count"] for r in links)
+
+    store.ingest(root)
+    assert state() == (2, 2)
+    for n in range(5):
+        (inbox / f"s{n}.eml").write_bytes(mail_of(n % 4))  # the last is a copy of the first, in another batch
+    stream()
+    assert state() == (6, 6)
+    (inbox / "t.eml").write_bytes(mail_of(10))
+    store.ingest(root)
+    assert state() == (7, 7)
+    (inbox / "u.mbox").write_bytes(b"From a\n" + mail_of(10) + b"\nFrom b\n" + mail_of(11) + b"\nFrom c\n" + mail_of(2))
+    stream()  # knows what the run between has written
+    assert state() == (8, 8)
+    stream("another")
+    assert state() == (8, 8)
+    (inbox / "v.eml").write_bytes(mail_of(12))
+    stream("another")
+    stream()
+    assert state() == (9, 9)
+
+
+def test_links_of_a_broken_run_do_not_count(spark, folder):
+    store = Store(spark, f"file://{folder}/store")
+    store.ingest(f"file://{folder}/in")
+    before = store.urls().count()
+    spark.read.parquet(f"file://{folder}/store/urls/run=0/batch=0").write.parquet(f"file://{folder}/store/urls/run=7/batch=0")
+    assert store.urls().count() == before == 2
+
+
+def test_stream_and_run_give_equal_scores(spark, folder):
+    """Ages are read anew for each batch."""
+    runs, streams = Store(spark, f"file://{folder}/runs"), Store(spark, f"file://{folder}/streams")
+    young = spark.sql("SELECT 'friend.example' AS domain, cast(date_sub(current_date(), 5) AS string) AS registered_date, 'R' AS registrar")
+    for store in (runs, streams):
+        store.replace("domain_enrichment", young)
+    runs.ingest(f"file://{folder}/in")
+    streams.stream(f"file://{folder}/in", f"file://{folder}/c").awaitTermination(180)
+    rows = lambda s: sorted(map(str, s.typed().drop("seq").collect()))
+    assert rows(runs) == rows(streams) and [r.scam_score for r in streams.typed().where("from_domain = 'friend.example'").collect()] == [3]
+    streams.replace("domain_enrichment", young.withColumn("domain", F.lit("late.example")))
+    (folder / "in" / "late.eml").write_bytes(PLAIN.replace(b"friend.example", b"late.example"))
+    streams.stream(f"file://{folder}/in", f"file://{folder}/c").awaitTermination(180)
+    assert [r.scam_signals for r in streams.typed().where("from_domain = 'late.example'").collect()] == [["sender domain registered 5 days ago"]]
+
+
+def test_a_failed_swap_keeps_the_old_table(spark, folder, monkeypatch):
+    path = f"file://{folder}/t"
+    tables.replace(spark.range(3), path)
+    tables.replace(spark.read.parquet(path).where("id < 2"), path)
+    assert spark.read.parquet(path).count() == 2 and sorted(p.name for p in folder.iterdir() if p.name.startswith("t")) == ["t"]
+    real = tables._file_system(spark, path)
+
+    class Broken:
+        def __getattr__(self, name):
+            return getattr(real[0], name)
+
+        def rename(self, a, b):
+            return False if ".new-" in a.toString() else real[0].rename(a, b)
+
+    monkeypatch.setattr(tables, "_file_system", lambda *_: (Broken(), real[1]))
+    with pytest.raises(OSError):
+        tables.replace(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 2
