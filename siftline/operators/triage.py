@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline import rules
 from siftline.functions import columns as C
 
 
+def _literal(text: Column) -> Column:
+    """Text in quotes, with backslashes and whatever can't be printed escaped."""
+
+    def shown(x: Column) -> Column:
+        code = F.ascii(x)
+        number = lambda width: F.lpad(F.lower(F.hex(code)), width, "0")
+        escaped = F.when(code < 256, F.concat(F.lit("\\x"), number(2))).when(code < 65536, F.concat(F.lit("\\u"), number(4))).otherwise(F.concat(F.lit("\\U"), number(8)))
+        named = F.when(x == "\\", "\\\\").when(x == "\n", "\\n").when(x == "\r", "\\r").when(x == "\t", "\\t")
+        return named.when(x.rlike(r"[\p{C}\p{Z}]") & (x != " "), escaped).otherwise(x)
+
+    plain = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), shown), "")
+    double = text.contains("'") & ~text.contains('"')
+    return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def triage(signals: DataFrame) -> DataFrame:
     """Adds ``category, scam_score, scam_signals``.
 
@@ -19,8 +34,7 @@ def triage(signals: DataFrame) -> DataFrame:
     root, reply_root = C.root(c("from_domain")), C.root(c("reply_domain"))
     text = F.concat(c("subject"), F.lit("\n"), c("body"))
     urgent = F.substring(F.regexp_extract(text, "(?iU)" + rules.phrase_pattern(rules.URGENT), 0), 1, 40)
-    quoted = F.when(urgent.contains("'") & ~urgent.contains('"'), F.concat(F.lit('"'), urgent, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(urgent, F.lit("'"), F.lit("\\'")), F.lit("'")))
-    quoted = F.replace(F.replace(F.replace(quoted, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+    quoted = _literal(urgent)
     official = F.create_map(*[x for b, (_, d) in rules.BRANDS.items() for x in (F.lit(b), F.array(*map(F.lit, d)))])
     false_brand = F.get(F.filter(C.display_brands(c("display_name")), lambda b: ~F.array_contains(official[b], root) & ~F.array_contains(official[b], c("from_domain"))), F.lit(0))
     root_age = F.when(c("from_domain") == root, F.coalesce(c("root_age"), c("age"))).otherwise(c("root_age"))

@@ -157,7 +157,7 @@ def wallet_rows(answers: DataFrame, checked: str) -> DataFrame:
     The first day of a Bitcoin address is only known if all its transactions are on the first page; else it is an upper bound.
     A rejected address (400) has a row that says so; other errors give none.
     """
-    a = _wallet_keys(answers.where("answer IS NOT NULL OR error LIKE 'HTTPError%400%'")).withColumn("a", F.from_json("answer", WALLET_ANSWER))
+    a = _wallet_keys(answers.where("answer IS NOT NULL OR error LIKE 'HTTPError: HTTP Error 400%'")).withColumn("a", F.from_json("answer", WALLET_ANSWER))
     c, none, zero = F.col, F.lit(""), F.lit(0).cast("decimal(38,0)")
     is_btc, rejected = c("chain") == "BTC", c("answer").isNull()
     n = F.when(is_btc, F.coalesce("a.info.chain_stats.tx_count", F.lit(0))).otherwise(F.coalesce(c("a.counters.transactions_count").try_cast("long"), F.lit(0)))
@@ -273,7 +273,7 @@ def replace_transactions(old: DataFrame, new: DataFrame, wallets: DataFrame) ->
     return old.join(active, "address", "left_anti").unionByName(new.join(active, "address", "left_semi")).dropDuplicates(["address", "txid"])
 
 
-def status_row(answers: DataFrame, key: str, permanent: tuple[str, ...] = ("HTTPError: 400",)) -> DataFrame:
+def status_row(answers: DataFrame, key: str, permanent: tuple[str, ...] = ("HTTPError: HTTP Error 400",)) -> DataFrame:
     """Keys whose error is final, as rows whose ``notes`` say so; other errors give none and are asked again."""
     final = reduce(lambda a, b: a | b, [F.col("error").startswith(p) for p in permanent], F.lit(False))
     return answers.where(final).select(key, F.concat(F.lit("lookup failed: "), F.col("error")).alias("notes"))

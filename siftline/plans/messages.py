@@ -25,6 +25,7 @@ NUMBERS = "scam_score url_count image_count image_ocr_chars".split()
 #: Columns of the table of links, in order (fixed values).
 URL_COLUMNS = "id url domain".split()
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_MONTH_ENDS = "uary ruary ch il e y ust tember ober ember".split()
 
 
 def from_signals(s: DataFrame) -> DataFrame:
@@ -56,13 +57,31 @@ def from_text(rows: DataFrame) -> DataFrame:
 
 
 def month(date_iso: Column, date: Column) -> Column:
-    """``YYYY-MM`` of the day, or of the raw date of a mail where that is blank; empty if neither is known."""
+    """``YYYY-MM`` of the day, or of the raw date of a mail where that is blank; empty if neither is known.
+
+    Raw dates are read as mail readers do: ``[weekday,] day month year time
+    [zone]``, month and day in either order, or ``day-month-year time zone``; of
+    two digits, years from 69 are of the last century.  A day or time that
+    doesn't exist gives none.
+    """
     day = F.trim(F.coalesce(date_iso, F.lit("")))
-    pattern = r"(?i)^\s*(?:[a-z]+,?\s+)?\d{1,2}[\s-]+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s-]+(\d{4})\s+\d{1,2}[:.]\d{2}"
     raw = F.coalesce(date, F.lit(""))
-    name, year = F.lower(F.regexp_extract(raw, pattern, 1)), F.regexp_extract(raw, pattern, 2)
-    number = F.lpad(F.array_position(F.array(*map(F.lit, _MONTHS)), name).cast("string"), 2, "0")
-    return F.when(F.length(day) >= 7, F.substring(day, 1, 7)).when(year != "", F.concat(year, F.lit("-"), number)).otherwise("")
+    names = "(" + "|".join(_MONTHS) + ")(?:" + "|".join(x for x in _MONTH_ENDS) + ")?"
+    time = r"(?:[01]?\d|2[0-3])[:.][0-5]?\d(?:[:.][0-5]?\d)?"
+    weekday = r"(?i)^\s*(?:[a-z]+,\s*|(?:mon|tue|wed|thu|fri|sat|sun)\s+)?"
+    forms = [  # pattern, and the groups of day, month and year
+        (rf"{weekday}(\d{{1,2}})\s+{names}\s+(\d{{4}}|\d\d),?\s+{time}(?:\s|[+-]|$)", (1, 2, 3)),
+        (rf"{weekday}{names}\s+(\d{{1,2}}),?\s+(\d{{4}}|\d\d),?\s+{time}(?:\s|[+-]|$)", (2, 1, 3)),
+        (rf"{weekday}(\d{{1,2}})-{names}-(\d{{4}}|\d\d)\s+{time}\s+\S+\s*$", (1, 2, 3)),
+    ]
+    found = F.lit("")
+    for pattern, (d, m, y) in reversed(forms):
+        part = lambda i, p=pattern: F.regexp_extract(raw, p, i)
+        year = F.when(F.length(part(y)) == 4, part(y)).when(part(y) > "68", F.concat(F.lit("19"), part(y))).otherwise(F.concat(F.lit("20"), part(y)))
+        number = F.lpad(F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(part(m))).cast("string"), 2, "0")
+        known = F.concat_ws("-", year, number, F.lpad(part(d), 2, "0")).try_cast("date").isNotNull()
+        found = F.when(part(m) == "", found).when(known, F.concat(year, F.lit("-"), number)).otherwise("")
+    return F.when(F.length(day) >= 7, F.substring(day, 1, 7)).otherwise(found)
 
 
 def relation(m: DataFrame) -> DataFrame:
