@@ -112,9 +112,10 @@ class WordTokeniser:
 
     def _encode(self, unseen: set[str]) -> dict[str, bytes]:
         split, special = {}, [x.lower() for x in self.special]
+        begin = os.path.commonprefix(special) if special else "\0"
         for p in unseen:
             low = p.lower() if p.isascii() else p
-            if any(x in low for x in special):  # added tokens are found before cases are folded
+            if begin in low and any(x in low for x in special):  # added tokens are found before cases are folded
                 split[p] = (p, "")
                 continue
             stem = low.rstrip(".,!?")
@@ -247,7 +248,7 @@ def cut(queue: np.ndarray, start: np.ndarray, length: np.ndarray, n: Queues, win
     return row, lo - start[row], hi - lo, w, off + lo - a
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cache_words: int = CACHE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cache_words: int = CACHE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slice_bytes: int = 2 << 20) -> DataFrame:
     """``(doc_id, source, part, at, n, width, ids)``: ids as little-endian numbers of ``width`` bytes, ``at`` counts the tokens of the source before in the partition."""
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
 
@@ -255,7 +256,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cache_words:
         t = WordTokeniser.at(tokenizer_path)
         t.most = cache_words
         part, upto, end = TaskContext.get().partitionId(), {}, array(t.code, [end_id]).tobytes()
-        for b in sliced(batches):
+        for b in sliced(batches, max_bytes=slice_bytes):
             at, n = [], []
             ids = [x + end for x in t.ids([x or "" for x in b.column("text").to_pylist()])]
             for s, x in zip(b.column("source").to_pylist(), ids):
@@ -269,16 +270,17 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cache_words:
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, cache_words: int = CACHE, quantum: int = 1,
+    docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, cache_words: int = CACHE, quantum: int = 1, slice_bytes: int = 2 << 20,
     weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])`` that fill windows of ``window`` tokens.
 
     Only the last window can be short.  ``ids`` are little-endian 32-bit numbers.
+    Tasks read texts and ids by ``slice_bytes``.
     ``weights``: positive target weights by source; a source that is not named is an error.
     """
     spark = docs.sparkSession
-    tokens = materialise(tokenise(docs, tokenizer_path, end_id, cache_words, id_col, text_col, source_col), "tokens")
+    tokens = materialise(tokenise(docs, tokenizer_path, end_id, cache_words, id_col, text_col, source_col, slice_bytes), "tokens")
     sums = materialise(tokens.groupBy(F.col("source").alias("queue"), "source", "part").agg(F.sum("n").alias("n")), "queues")
     sizes = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy(F.col("queue").asc_nulls_last()).collect()  # one row a queue
     if not sizes:
@@ -296,7 +298,7 @@ def pack(
     schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "ids"):
+        for b in sliced(batches, "ids", slice_bytes):
             queue = np.array([index[x] for x in b.column("queue").to_pylist()], np.int64)
             length = b.column("n").to_numpy()
             row, start, size, w, off = cut(queue, b.column("first").to_numpy(), length, n, window)
