@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With a small cache of words: the workers live on beside the other stages' memory."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=150_000)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=150_000, slice_bytes=1 << 20)
 
 
 STAGES = [
