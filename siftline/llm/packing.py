@@ -248,7 +248,7 @@ def cut(queue: np.ndarray, start: np.ndarray, length: np.ndarray, n: Queues, win
     return row, lo - start[row], hi - lo, w, off + lo - a
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cache_words: int = CACHE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slice_bytes: int = 2 << 20) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cache_words: int = CACHE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slice_bytes: int = 1 << 20) -> DataFrame:
     """``(doc_id, source, part, at, n, width, ids)``: ids as little-endian numbers of ``width`` bytes, ``at`` counts the tokens of the source before in the partition."""
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
 
@@ -270,7 +270,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cache_words:
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, cache_words: int = CACHE, quantum: int = 1, slice_bytes: int = 2 << 20,
+    docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, cache_words: int = CACHE, quantum: int = 1, slice_bytes: int = 1 << 20,
     weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])`` that fill windows of ``window`` tokens.
