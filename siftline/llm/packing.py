@@ -111,23 +111,37 @@ class WordTokeniser:
         return out
 
     def _encode(self, unseen: set[str]) -> dict[str, bytes]:
-        split, special = {}, [x.lower() for x in self.special]
+        joined, split, special = {}, {}, [x.lower() for x in self.special]
         begin = os.path.commonprefix(special) if special else "\0"
+        need = set()
         for p in unseen:
             low = p.lower() if p.isascii() else p
             if begin in low and any(x in low for x in special):  # added tokens are found before cases are folded
-                split[p] = (p, "")
+                need.add(p)
                 continue
             stem = low.rstrip(".,!?")
-            split[p] = (stem, low[len(stem) :]) if stem != low and stem.isascii() and stem[-1:].isalpha() else (low, "")
-        need = list({x for pair in split.values() for x in pair}.difference(self.cache))
+            if stem != low and stem.isascii() and stem[-1:].isalpha():
+                split[p] = end = low[len(stem) :]
+                need.add(end)
+            else:
+                stem = low
+            need.add(stem)
+            joined[p] = stem
         new = {}
+        need = list(need.difference(self.cache))
         for i in range(0, len(need), ENCODED):
             some = need[i : i + ENCODED]
-            new.update((x, array(self.code, e.ids).tobytes()) for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
+            new.update(zip(some, self._each(some)))
         find = lambda x: new[x] if x in new else self.cache[x]
-        joined = {p: find(a) + find(b) for p, (a, b) in split.items()}
-        return {x: v for x, v in new.items() if x not in self.cache} | joined
+        new.update([(p, find(x) + find(split[p]) if p in split else find(x)) for p, x in joined.items()])
+        return new
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, encoded as the parts of one list: an encoding of its own costs more than most words' ids."""
+        e = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = array(self.code, e.ids).tobytes()
+        at = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(words) + 1)) * self.width).tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
 
 
 class Queues:
