@@ -32,15 +32,20 @@ def folder(spark: SparkSession) -> str:
     return folder(spark)
 
 
-def saved(df: DataFrame, name: str = "copy") -> DataFrame:
-    """``df``, read from a copy."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the process ends."""
     path = f"{folder(spark)}/siftline-{name}-{uuid.uuid4().hex}"
     if not _COPIES:
         atexit.register(drop_all)
     _COPIES[path] = spark
+    return path
+
+
+def saved(df: DataFrame, name: str = "copy") -> DataFrame:
+    """``df``, read from a copy."""
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.copied_to = path
     return out
 

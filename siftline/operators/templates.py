@@ -39,20 +39,28 @@ def fingerprints(messages: DataFrame, key: str, body: Column) -> DataFrame:
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 
 
-def similar(nodes: DataFrame, distance: int = 3) -> DataFrame:
-    """Pairs ``(src, dst)`` of distinct ``fp`` that differ in at most three bits.
+def dealt(nodes: DataFrame, distance: int = 3) -> DataFrame:
+    """``(fp, choice, bits)``: each fingerprint with its bits in all 20 choices of three blocks.
 
-    Three bits spoil at most three of six blocks, so such a pair agrees on three
-    whole blocks: each fingerprint is dealt by the bits of all 20 choices of
-    three, 31 to 33 bits each, and few that are not alike meet.
+    Three bits spoil at most three of six blocks, so fingerprints that differ in
+    no more agree on three whole blocks, 31 to 33 bits, and few others do.
     """
     if distance > 3:
         raise ValueError("six blocks find distances up to 3")
     masks = [sum(((1 << n) - 1) << at for at, n in chosen) for chosen in combinations(BLOCKS, 3)]
     keys = F.array(*[F.col("fp").bitwiseAND(x - (1 << 64) if x >> 63 else x) for x in masks])
-    dealt = nodes.select("fp", F.posexplode(keys).alias("choice", "bits"))
-    other = dealt.select(F.col("fp").alias("dst"), "choice", "bits")
-    pairs = dealt.withColumnRenamed("fp", "src").join(other, ["choice", "bits"]).where("src < dst").where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= distance)
+    return nodes.select("fp", F.posexplode(keys).alias("choice", "bits"))
+
+
+def near(a: str, b: str, distance: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+
+
+def similar(nodes: DataFrame, distance: int = 3) -> DataFrame:
+    """Pairs ``(src, dst)`` of distinct ``fp`` that differ in at most three bits."""
+    d = dealt(nodes, distance)
+    other = d.select(F.col("fp").alias("dst"), "choice", "bits")
+    pairs = d.withColumnRenamed("fp", "src").join(other, ["choice", "bits"]).where("src < dst").where(near("src", "dst", distance))
     return pairs.select("src", "dst").distinct()
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from siftline import rules
 from siftline.functions import columns as C
-from siftline.operators import tableview, templates
+from siftline.operators import scratch, tableview, templates
+from siftline.operators.template_index import TemplateIndex
 from siftline.operators.triage import triage
 from siftline.plans import enrichment as E
 from siftline.plans import relations as R
@@ -246,13 +247,28 @@ def template_fingerprints_all(spark, sf_dir):
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"))
 
 
-@query("WITH RECURSIVE" + _VOTED.removeprefix("WITH") + """, f AS MATERIALIZED (SELECT doc_id, (CASE WHEN u >= 9223372036854775808 THEN u::HUGEINT - 18446744073709551616 ELSE u::HUGEINT END)::BIGINT AS fp FROM u WHERE u <> 0), n AS MATERIALIZED (SELECT DISTINCT fp FROM f),
+_CLUSTERS = (
+    "WITH RECURSIVE" + _VOTED.removeprefix("WITH") + """, f AS MATERIALIZED (SELECT doc_id, (CASE WHEN u >= 9223372036854775808 THEN u::HUGEINT - 18446744073709551616 ELSE u::HUGEINT END)::BIGINT AS fp FROM u WHERE u <> 0), n AS MATERIALIZED (SELECT DISTINCT fp FROM f),
 e AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM n a JOIN n b ON bit_count(xor(a.fp, b.fp)) <= 3), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-g AS (SELECT a AS fp, min(b) AS label FROM r GROUP BY a) SELECT doc_id, label, count(*) OVER (PARTITION BY label) AS size FROM f JOIN g ON f.fp = g.fp QUALIFY size > 1""")
+g AS (SELECT a AS fp, min(b) AS label FROM r GROUP BY a) SELECT doc_id, label, count(*) OVER (PARTITION BY label) AS size FROM f JOIN g ON f.fp = g.fp QUALIFY size > 1"""
+)
+
+
+@query(_CLUSTERS)
 def template_clusters(spark, sf_dir):
     return templates.clusters(templates.fingerprints(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit(""))), "doc_id").select("doc_id", "label", "size")
 
 
+@query(_CLUSTERS)
+def template_clusters_by_batches(spark, sf_dir):
+    """All documents again, added to an index in three batches, the second and third to what is kept of those before."""
+    d = scratch.saved(templates.fingerprints(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit(""))), "fps")
+    index = TemplateIndex(spark, scratch.place(spark, "templates"))
+    for batch in range(3):
+        index.add(d.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == batch), "doc_id")
+    return index.clusters().select(F.col("key").alias("doc_id"), "label", "size")
+
+
 @query("SELECT event_id, event_type, value FROM events WHERE event_type = 'click' AND (lower(event_type) LIKE '%li%') ORDER BY value DESC, event_id LIMIT 50 OFFSET 50")
 def table_page(spark, sf_dir):
     return tableview.page(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), filters={"event_type": "click"}, search="li", order=[F.desc("value"), F.col("event_id")], number=1, size=50)
