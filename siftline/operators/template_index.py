@@ -13,8 +13,7 @@ labels and the merges.  No row of an old cluster is written anew: a label that
 is joined to another gets a row in ``merged``, as do the labels that were
 joined to it before, so that one lookup always finds the newest label.
 
-A batch counts when its mark in ``done`` is written, last of all; folders of one
-that failed are overwritten by the next.  One writer at a time.
+Batches are written and counted as :mod:`siftline.operators.batches` says.
 
 Defined results: fingerprint zero or null takes no part; a null key is a message
 like any other; a key that is added twice counts twice, unless its batch has a
@@ -27,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.operators.batches import BatchTables
 from siftline.operators.graph import connected_components
 from siftline.operators.scratch import drop, saved
 from siftline.operators.templates import dealt, near, similar
@@ -38,18 +38,14 @@ class TemplateIndex:
     """The index in ``folder``; ``key`` is the type of its keys, ``shards`` stays what it was at the first batch."""
 
     def __init__(self, spark: SparkSession, folder: str, distance: int = 3, shards: int = 16, key: str = "long"):
-        self.spark, self.folder, self.distance, self.shards, self.key = spark, folder.rstrip("/"), distance, shards, key
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.distance, self.shards, self.key = spark, distance, shards, key
+        self._tables = BatchTables(spark, folder, {n: schema.format(key=f"key {key}") for n, schema in KINDS.items()})
 
     def add(self, fps: DataFrame, key: str, name: str | None = None) -> bool:
         """Add messages ``(key, fp)``; false if the batch ``name`` (letters and digits, as of a stream's batch) is there already."""
-        if name is not None and not name.isalnum():
-            raise ValueError(f"not a batch name: {name}")
-        marks = self._marks()
-        if name is not None and any(m[2] == name for m in marks):
+        at = self._tables.next(name)
+        if at is None:
             return False
-        at = max((m[0] for m in marks), default=-1) + 1
         messages = saved(fps.where("fp <> 0").select(F.col(key).cast(self.key).alias("key"), "fp"), "batch")
         mine = messages.select("fp").distinct().withColumn("shard", self._shard("fp"))
         new = saved(mine.join(self._in_shards("labels", mine).select("fp"), "fp", "left_anti"), "new")
@@ -64,7 +60,7 @@ class TemplateIndex:
         labels = new.join(found, "fp", "left").select("fp", F.coalesce("least", "fp").alias("label"), "shard")
         joined = saved(touched.select("label").distinct().join(found.withColumnRenamed("fp", "label"), "label").where("label <> least").select("label", F.col("least").alias("into")), "joined")
         before = self._merged().select(F.col("label").alias("first"), F.col("into").alias("label")).join(joined, "label").select(F.col("first").alias("label"), "into")
-        self._write({"keys": messages, "labels": labels, "bands": bands, "merged": joined.unionByName(before)}, at, f"{at}-{name}" if name else f"{at}")
+        self._tables.write({"keys": messages, "labels": labels, "bands": bands, "merged": joined.unionByName(before)}, at, name)
         for copy in (messages, new, bands, met, touched, joined, found):
             drop(copy)
         return True
@@ -80,33 +76,15 @@ class TemplateIndex:
 
     def compact(self) -> None:
         """Write all batches as one, with their newest labels, and delete the folders of those before."""
-        marks = self._marks()
-        if not marks:
-            return
-        at = marks[-1][0] + 1
-        labels = self.labels().withColumn("shard", self._shard("fp"))
-        self._write({"keys": self._read("keys"), "labels": labels, "bands": self._read("bands"), "merged": self._read("merged").limit(0)}, at, f"{at}.all")
-        for n, *_ in marks:
-            for kind in KINDS:
-                self._fs.delete(self._path(f"{self.folder}/{kind}/batch={n}"), True)
-
-    def _marks(self) -> list[tuple[int, bool, str]]:
-        """``(number, whether it holds all before, name)`` of finished batches, in order."""
-        found = self._fs.globStatus(self._path(f"{self.folder}/done/*")) or []
-        names = [x.getPath().getName() for x in found]
-        return sorted((int(m.removesuffix(".all").partition("-")[0]), m.endswith(".all"), m.partition("-")[2]) for m in names)
+        if self._tables.marks():
+            labels = self.labels().withColumn("shard", self._shard("fp"))
+            self._tables.fold({"keys": self._read("keys"), "labels": labels, "bands": self._read("bands"), "merged": self._read("merged").limit(0)})
 
     def _shard(self, *columns: str):
         return F.pmod(F.xxhash64(*columns), F.lit(self.shards)).cast("int")
 
     def _read(self, kind: str) -> DataFrame:
-        marks = self._marks()
-        whole = max((n for n, every, _ in marks if every), default=0)
-        schema = KINDS[kind].format(key=f"key {self.key}")
-        paths = [f"{self.folder}/{kind}/batch={n}" for n, *_ in marks if n >= whole]
-        if not paths:
-            return self.spark.createDataFrame([], schema + ", batch int")
-        return self.spark.read.schema(schema + ", batch int").option("basePath", f"{self.folder}/{kind}").parquet(*paths)
+        return self._tables.read(kind)
 
     def _in_shards(self, kind: str, of: DataFrame) -> DataFrame:
         """The rows in the shards of ``of``: at most ``shards`` numbers reach the driver."""
@@ -119,12 +97,3 @@ class TemplateIndex:
     def _newest(self, labelled: DataFrame) -> DataFrame:
         other = [c for c in labelled.columns if c != "label"]
         return labelled.join(self._merged(), "label", "left").select(*other, F.coalesce("into", "label").alias("label"))
-
-    def _write(self, tables: dict[str, DataFrame], at: int, mark: str) -> None:
-        for kind, df in tables.items():
-            df, path = df.drop("batch"), f"{self.folder}/{kind}/batch={at}"
-            if "shard" in df.columns:
-                df.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
-            else:
-                df.write.mode("overwrite").parquet(path)
-        self._fs.create(self._path(f"{self.folder}/done/{mark}"), False).close()

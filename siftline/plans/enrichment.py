@@ -286,8 +286,13 @@ def wallet_report(m: DataFrame, wallets: DataFrame) -> DataFrame:
     """Wallets of ``indicators`` with their facts; ``wallets`` has one row per address, whatever the chain."""
     seen = m.select("seq", "from_domain", F.posexplode("indicators").alias("at", "_i")).where("_i.kind IN ('btc', 'eth')").groupBy(F.upper("_i.kind").alias("chain"), F.col("_i.value").alias("address"))
     g = seen.agg(F.count(F.lit(1)).alias("times_seen"), F.countDistinct(F.when(F.col("from_domain") != "", F.col("from_domain"))).alias("distinct_domains"), F.min("seq").alias("first_seq"), F.min(F.struct("seq", "at")).alias("first"))
+    return wallet_facts(g, wallets)
+
+
+def wallet_facts(seen: DataFrame, wallets: DataFrame) -> DataFrame:
+    """Wallets ``(address, ...)`` with their facts and whether they were ever used."""
     facts = wallets.withColumnsRenamed({"first_seen": "first_active", "last_seen": "last_active"}) if "first_seen" in wallets.columns else wallets
-    d = g.join(facts, "address", "left").withColumn("tx_count", C.score(F.coalesce(F.col("tx_count").cast("string"), F.lit(""))))
+    d = seen.join(facts, "address", "left").withColumn("tx_count", C.score(F.coalesce(F.col("tx_count").cast("string"), F.lit(""))))
     return d.withColumn("active", F.col("tx_count") > 0)
 
 
@@ -295,8 +300,13 @@ def ip_report(m: DataFrame, ips: DataFrame) -> DataFrame:
     """Addresses of origin with their facts and whether they are artifacts of the mail exchange."""
     seen = m.select("seq", "from_domain", F.inline("indicators")).where("kind = 'ip'").groupBy(F.col("value").alias("ip"))
     g = seen.agg(F.count(F.lit(1)).alias("times_seen"), F.countDistinct(F.when(F.col("from_domain") != "", F.col("from_domain"))).alias("distinct_domains"), F.min("seq").alias("first_seq"))
+    return ip_facts(g, ips)
+
+
+def ip_facts(seen: DataFrame, ips: DataFrame) -> DataFrame:
+    """Addresses ``(ip, times_seen, distinct_domains, first_seq)`` with their facts."""
     blank = [_text(F.col(c)).alias(c) for c in ("asn", "as_name", "isp", "country")]
-    return g.join(ips, "ip", "left").select("ip", "times_seen", "distinct_domains", *blank, C.is_artifact(F.col("ip"), F.col("isp"), F.col("asn")).alias("artifact"), "first_seq")
+    return seen.join(ips, "ip", "left").select("ip", "times_seen", "distinct_domains", *blank, C.is_artifact(F.col("ip"), F.col("isp"), F.col("asn")).alias("artifact"), "first_seq")
 
 
 def transactions_report(transactions: DataFrame) -> DataFrame:

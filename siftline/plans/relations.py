@@ -75,6 +75,11 @@ def trends(m: DataFrame, counted: bool = False) -> DataFrame:
     counts = d.groupBy("month").agg(F.count(F.lit(1)).alias("total"), *[F.count(F.when(F.col("category") == c, 1)).alias(c) for c in CATEGORIES])
     fresh = d.where("from_domain <> ''").groupBy("from_domain").agg(F.min("month").alias("month")).groupBy("month").agg(F.count(F.lit(1)).alias("new_domains"))
     brand = d.select("month", "seq", F.posexplode("brands").alias("at", "brand")).groupBy("month", "brand").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "at")).alias("at"))
+    return trend_rows(counts, fresh, brand, counted)
+
+
+def trend_rows(counts: DataFrame, fresh: DataFrame, brand: DataFrame, counted: bool) -> DataFrame:
+    """Months from their ``counts``, the domains first seen (``fresh``), and ``brand(month, brand, n, at)``."""
     rank = F.row_number().over(W.partitionBy("month").orderBy(F.desc("n"), "at"))
     top = brand.withColumn("r", rank).where("r <= 3").groupBy("month").agg(F.array_sort(F.collect_list(F.struct("r", "brand", F.col("n").alias("count")))).alias("top"))
     out = counts.join(fresh, "month", "left").join(top, "month", "left").select("*", F.coalesce("top", F.array()).alias("t"))
@@ -108,7 +113,11 @@ def operator_fingerprints(m: DataFrame, ips: DataFrame | None = None, show: int
 
     Addresses of origin that ``ips`` shows to be artifacts take no part.
     """
-    x = exploded(m).where("from_domain <> ''")
+    return shared_indicators(exploded(m).where("from_domain <> ''"), ips, show, safe)
+
+
+def shared_indicators(x: DataFrame, ips: DataFrame | None, show: int = 8, safe: bool = True) -> DataFrame:
+    """The same from ``(kind, value, from_domain, functional, seq, at)``; one row for each value and domain is enough."""
     if ips is not None:
         x = x.join(artifacts(ips).withColumn("kind", F.lit("ip")), ["kind", "value"], "left_anti")
     domain = C.defang_domain(F.col("from_domain")) if safe else F.col("from_domain")

@@ -72,9 +72,14 @@ def domains(m: DataFrame, facts: DataFrame) -> DataFrame:
     """Senders, by domain or, for free mail, by address, with the facts of the domain of their first message."""
     d = m.where("from_domain <> ''").withColumn("sender", C.sender_key(F.col("from_domain"), F.col("from_addr")))
     g = d.groupBy("sender").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_set("category")).alias("categories"), F.min_by("from_domain", "seq").alias("of"), F.min("seq").alias("first_seq"))
+    return domain_rows(g.join(R.samples(d, "sender"), "sender"), facts)
+
+
+def domain_rows(g: DataFrame, facts: DataFrame) -> DataFrame:
+    """Senders ``(sender, count, categories, of, first_seq)`` with their samples, for display with the facts of ``of``."""
     names = [c for c in ("registered_date", "registrar", "nameservers", "registrant_org", "registrant_country", "notes") if c in facts.columns]
     known = facts.select(F.col("domain").alias("of"), *names, F.lit(True).alias("enriched"))
-    d = g.join(known, "of", "left").join(R.samples(d, "sender"), "sender")
+    d = g.join(known, "of", "left")
     is_address = F.col("sender").contains("@")
     return d.select(
         F.when(is_address, C.defang_email(F.col("sender"))).otherwise(C.defang_domain(F.col("sender"))).alias("domain"), is_address.alias("is_freemail_address"),
@@ -88,6 +93,11 @@ def domains(m: DataFrame, facts: DataFrame) -> DataFrame:
 
 def registrations(facts: DataFrame, m: DataFrame) -> DataFrame:
     by = m.where("from_domain <> ''").groupBy(F.col("from_domain").alias("domain")).agg(F.count(F.lit(1)).alias("messages"))
+    return registration_rows(facts, by)
+
+
+def registration_rows(facts: DataFrame, by: DataFrame) -> DataFrame:
+    """Registration clusters for display, from ``by(domain, messages)``."""
     safe = lambda c: F.transform(F.split(c, "; "), C.defang_domain)
     return R.registration_clusters(facts, by).select("registrar", F.array_sort(safe("nameserver_roots")).alias("nameserver_roots"), safe("domains").alias("domains"), F.col("dates").alias("registration_dates"), "span_days", "messages", "domain_count")
 
@@ -95,6 +105,11 @@ def registrations(facts: DataFrame, m: DataFrame) -> DataFrame:
 def asns(m: DataFrame, ips: DataFrame) -> DataFrame:
     seen = R.exploded(m).where("kind = 'ip'").join(ips.where("asn <> ''").select(F.col("ip").alias("value"), "asn"), "value")
     g = R.origin_asns(m, ips).withColumnsRenamed({"ips": "distinct_ips", "domains": "distinct_domains"}).join(R.samples(seen, "asn"), "asn")
+    return asn_rows(g)
+
+
+def asn_rows(g: DataFrame) -> DataFrame:
+    """Networks for display, from what was counted of them."""
     return g.select("asn", _text("as_name"), _text("isp"), "countries", "messages", "likely_scam", "distinct_ips", "distinct_domains", "sample_subjects", "sample_ids", "first_seq")
 
 
@@ -104,7 +119,11 @@ def _with_samples(m: DataFrame, kinds: tuple[str, ...], g: DataFrame, key: str)
 
 
 def ips(m: DataFrame, facts: DataFrame, safe: bool = True) -> DataFrame:
-    d = _with_samples(m, ("ip",), E.ip_report(m, facts), "ip")
+    return ip_rows(_with_samples(m, ("ip",), E.ip_report(m, facts), "ip"), safe)
+
+
+def ip_rows(d: DataFrame, safe: bool) -> DataFrame:
+    """Addresses of origin for display."""
     return d.withColumn("ip", _shown(safe, C.defang_ip)(F.col("ip")))
 
 
@@ -114,7 +133,11 @@ def template_clusters(m: DataFrame, safe: bool = True) -> DataFrame:
     contact = F.concat(F.transform("contacts_functional", _shown(safe, C.defang_email)), F.col("phones_functional"))
     contacts = d.select("_c", F.explode(contact).alias("x")).groupBy("_c").agg(F.array_sort(F.collect_set("x")).alias("contacts"))
     g = d.groupBy("_c").agg(F.count(F.lit(1)).alias("count"), R.domains_of().alias("distinct_domains"), F.array_sort(F.collect_set("category")).alias("categories"), F.min("seq").alias("first_seq"))
-    g = g.join(contacts, "_c", "left").join(R.samples(d, "_c"), "_c")
+    return cluster_rows(g.join(contacts, "_c", "left").join(R.samples(d, "_c"), "_c"))
+
+
+def cluster_rows(g: DataFrame) -> DataFrame:
+    """Clusters ``(_c, count, distinct_domains, categories, first_seq, contacts)`` with their samples, numbered from 1."""
     g = numbered(g, [F.desc("count"), F.col("first_seq")], "cluster", start=1)
     return g.select("cluster", "count", "distinct_domains", "categories", F.coalesce("contacts", F.array().cast("array<string>")).alias("contacts"), "sample_subjects", "sample_ids")
 
@@ -129,13 +152,22 @@ def contacts(m: DataFrame, kind: str, safe: bool = True) -> DataFrame:
     """Phones or contact addresses; functional ones first."""
     d = R.exploded(m).where(F.col("kind") == kind)
     g = d.groupBy("value").agg(F.bool_or("functional").alias("functional"), F.count(F.lit(1)).alias("times_seen"), R.domains_of().alias("distinct_domains"), F.min(F.struct("seq", "at")).alias("first"))
-    g = g.join(R.samples(d, "value"), "value").withColumn("confidence", F.when(F.col("functional"), "functional").otherwise("filler"))
+    return contact_rows(g.join(R.samples(d, "value"), "value"), kind, safe)
+
+
+def contact_rows(g: DataFrame, kind: str, safe: bool) -> DataFrame:
+    """Phones or contact addresses for display, from what was counted of each value."""
+    g = g.withColumn("confidence", F.when(F.col("functional"), "functional").otherwise("filler"))
     shown = _shown(safe and kind == "email", C.defang_email)(F.col("value"))
     return g.select(shown.alias("value"), "confidence", "times_seen", "distinct_domains", "sample_subjects", "sample_ids", "first")
 
 
 def wallets(m: DataFrame, facts: DataFrame) -> DataFrame:
-    d = _with_samples(m, ("btc", "eth"), E.wallet_report(m, facts.drop("chain")), "address")
+    return wallet_rows(_with_samples(m, ("btc", "eth"), E.wallet_report(m, facts.drop("chain")), "address"))
+
+
+def wallet_rows(d: DataFrame) -> DataFrame:
+    """Wallets with their facts, for display."""
     known = [F.coalesce(F.col(c) if c in d.columns else F.lit(""), F.lit("")).alias(n) for n, c in (("total_received",) * 2, ("balance",) * 2, ("first_seen", "first_active"), ("last_seen", "last_active"), ("checked_date",) * 2, ("explorer_url",) * 2, ("chainabuse_url",) * 2)]
     return d.select("chain", "address", "times_seen", "distinct_domains", "tx_count", "active", *known, "sample_subjects", "sample_ids", "first")
 
@@ -153,14 +185,22 @@ def images(m: DataFrame) -> DataFrame:
     likeness = F.min_by("phash", F.when(F.col("phash").isNotNull(), place))
     g = d.groupBy("hash").agg(F.coalesce(likeness, F.lit("")).alias("phash"), F.count(F.lit(1)).alias("times_seen"), R.domains_of().alias("distinct_domains"), F.min(place).alias("first"))
     names = R.smallest(d.where("file IS NOT NULL"), ["hash"], "file", 4, "filenames").select("hash", "filenames")
-    g = g.join(names, "hash", "left").join(R.samples(d, "hash"), "hash")
+    return image_rows(g.join(names, "hash", "left").join(R.samples(d, "hash"), "hash"))
+
+
+def image_rows(g: DataFrame) -> DataFrame:
+    """Images for display, from what was counted of each hash."""
     return g.select("hash", "phash", "times_seen", "distinct_domains", F.coalesce("filenames", F.array().cast("array<string>")).alias("filenames"), "sample_subjects", "sample_ids", "first")
 
 
 def fingerprints(m: DataFrame, facts: DataFrame | None, safe: bool = True) -> DataFrame:
     """Indicators that sender domains share, made safe, with what makes them strong."""
+    return fingerprint_rows(R.operator_fingerprints(m, facts, safe=safe), safe)
+
+
+def fingerprint_rows(d: DataFrame, safe: bool) -> DataFrame:
+    """Shared indicators for display."""
     c = F.col
-    d = R.operator_fingerprints(m, facts, safe=safe)
     value = F.when(c("kind") == "email", _shown(safe, C.defang_email)(c("value"))).when(c("kind") == "ip", _shown(safe, C.defang_ip)(c("value"))).otherwise(c("value"))
     strong = F.when(c("kind").isin("btc", "eth"), "wallet").when(c("kind").isin("image", "ip"), c("kind")).when(c("functional"), "functional").otherwise("filler")
     name = F.when(c("kind").isin("btc", "eth"), F.upper("kind")).otherwise(c("kind"))
@@ -168,39 +208,56 @@ def fingerprints(m: DataFrame, facts: DataFrame | None, safe: bool = True) -> Da
     return d.select(name.alias("type"), value.alias("value"), strong.alias("confidence"), "domain_count", F.split("domains", "; ").alias("domains"), "rank", union.alias("branch"), "first")
 
 
-def relations(m: DataFrame, dims: dict[str, DataFrame], safe: bool = True) -> dict[str, tuple[DataFrame, list[str]]]:
-    """Every relation of the document with its order; ``first``, ``first_seq`` and the like only serve the order."""
-    facts = dims["ip_enrichment"]
+#: The order of each grouped relation; ``first``, ``first_seq`` and the like only serve the order.
+ORDERS = {
+    "trends": ["month"], "domains": ["-count", "first_seq"], "registration_clusters": ["-domain_count", "domains"], "asns": ["-messages", "first_seq"], "ips": ["-times_seen", "first_seq"], "template_clusters": ["cluster"],
+    "brands": ["-count", "first"], "phones": ["-confidence", "-times_seen", "first"], "contact_emails": ["-confidence", "-times_seen", "first"], "wallets": ["-active", "-times_seen", "first"],
+    "images": ["-times_seen", "first"], "fingerprints": ["rank", "-domain_count", "branch", "first"],
+}
+
+
+def row_relations(m: DataFrame, dims: dict[str, DataFrame], safe: bool = True) -> dict[str, tuple[DataFrame, list[str]]]:
+    """The relations of one row per message, link, transaction or action, each with its order."""
     return {
         "triage_queue": (triage_queue(m, dims["triage"], safe), ["-scam_score", "-date_iso", "seq"]),
-        "trends": (R.trends(m, counted=True), ["month"]),
-        "domains": (domains(m, dims["domain_enrichment"]), ["-count", "first_seq"]),
-        "registration_clusters": (registrations(dims["domain_enrichment"], m), ["-domain_count", "domains"]),
-        "asns": (asns(m, facts), ["-messages", "first_seq"]),
-        "ips": (ips(m, facts, safe), ["-times_seen", "first_seq"]),
-        "template_clusters": (template_clusters(m, safe), ["cluster"]),
-        "brands": (brands(m), ["-count", "first"]),
-        "phones": (contacts(m, "phone", safe), ["-confidence", "-times_seen", "first"]),
-        "contact_emails": (contacts(m, "email", safe), ["-confidence", "-times_seen", "first"]),
-        "wallets": (wallets(m, dims["wallet_enrichment"]), ["-active", "-times_seen", "first"]),
         "wallet_transactions": (transactions(dims["wallet_transactions"]), ["address", "timestamp", "txid"]),
-        "images": (images(m), ["-times_seen", "first"]),
-        "fingerprints": (fingerprints(m, facts, safe), ["rank", "-domain_count", "branch", "first"]),
         "emails": (emails(m), ["seq"]),
         "urls": (urls(dims["urls"]), [c for c in ("seq", "position") if c in dims["urls"].columns]),
         "actions": (R.actions(dims["actions"]), ["-date", *[c for c in ("seq",) if c in dims["actions"].columns]]),
     }
 
 
+def relations(m: DataFrame, dims: dict[str, DataFrame], safe: bool = True) -> dict[str, tuple[DataFrame, list[str]]]:
+    """Every relation of the document with its order."""
+    facts = dims["ip_enrichment"]
+    grouped = {
+        "trends": R.trends(m, counted=True), "domains": domains(m, dims["domain_enrichment"]), "registration_clusters": registrations(dims["domain_enrichment"], m), "asns": asns(m, facts), "ips": ips(m, facts, safe),
+        "template_clusters": template_clusters(m, safe), "brands": brands(m), "phones": contacts(m, "phone", safe), "contact_emails": contacts(m, "email", safe),
+        "wallets": wallets(m, dims["wallet_enrichment"]), "images": images(m), "fingerprints": fingerprints(m, facts, safe),
+    }
+    return {k: (df, ORDERS[k]) for k, df in grouped.items()} | row_relations(m, dims, safe)
+
+
 #: Columns that order relations and are not shown in the document.
 ORDERING = ("first", "first_seq", "rank", "branch", "seq", "position", "functional")
 
 
-def document(m: DataFrame, dims: dict[str, DataFrame], generated_at: str) -> dict[str, object]:
-    """Entries of the document under ``KEYS``, for :func:`siftline.sources.tables.json_document`."""
+def document(m: DataFrame, dims: dict[str, DataFrame], generated_at: str, kept: tuple[dict[str, object], dict[str, DataFrame]] | None = None) -> dict[str, object]:
+    """Entries of the document under ``KEYS``, for :func:`siftline.sources.tables.json_document`.
+
+    ``kept``: plain numbers and grouped relations, by their keys, that were not
+    made of all messages, such as those of ``plans.partials``.
+    """
+    if kept:
+        numbers, own = kept
+        return _entries({"generated_at": generated_at} | numbers, {k: (df, ORDERS[k]) for k, df in own.items()} | row_relations(m, dims))
     counts = {r.category: r.n for r in m.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy("category").collect()}  # a handful of categories
     scalars: dict[str, object] = {"generated_at": generated_at, "message_total": sum(counts.values()), "category_counts": counts, "unenriched_ip_count": R.unenriched_ips(m, dims["ip_enrichment"], blank_counts=False).first()[0]}
-    entries = scalars | {k: (df, order, [*ORDERING, *{"triage_queue": ["date_iso"], "registration_clusters": ["domain_count"]}.get(k, [])]) for k, (df, order) in relations(m, dims).items()}
+    return _entries(scalars, relations(m, dims))
+
+
+def _entries(scalars: dict[str, object], found: dict[str, tuple[DataFrame, list[str]]]) -> dict[str, object]:
+    entries = scalars | {k: (df, order, [*ORDERING, *{"triage_queue": ["date_iso"], "registration_clusters": ["domain_count"]}.get(k, [])]) for k, (df, order) in found.items()}
     return {k: entries[k] for k in KEYS}
 
 

@@ -2,7 +2,8 @@
 
 Messages and links are appended by writer and batch, ``messages/run=R/batch=N``.
 Dimensions are replaced whole, written beside the old table first.  Actions and
-triage marks are logs.
+triage marks are logs.  Partial relations of the report are kept by batch, so
+that a report counts new messages only.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from siftline.operators.scratch import drop, saved
 from siftline.plans import enrichment as E
 from siftline.plans import messages as M
-from siftline.plans import report
+from siftline.plans import partials, report
 from siftline.sources import files, tables
 from siftline.streaming import ingest
 
@@ -124,10 +125,33 @@ class Store:
 
     # Report
 
-    def document(self, write: Callable[[str], object], generated_at: str = "") -> None:
-        """The JSON document, written piece by piece."""
+    def count(self, at_most: int = 64) -> int:
+        """Add the batches of messages that are not counted yet to the partial relations; returns how many there were.
+
+        Each is read once, by itself; more than ``at_most`` counted ones are merged.
+        """
+        kept, table = partials.ReportPartials(self.spark, self.path("partials")), self.path("messages")
+        new = [(run, batch) for run, batch in files.batches(self.spark, table) if f"r{run}b{batch}" not in kept.names()]
+        for run, batch in new:
+            mine = ingest.read_messages(self.spark, table, run, batch)
+            kept.add(M.relation(mine), f"r{run}b{batch}")
+        if kept.batches() > at_most:
+            kept.compact()
+        return len(new)
+
+    def document(self, write: Callable[[str], object], generated_at: str = "", counted: bool = False) -> None:
+        """The JSON document, written piece by piece; ``counted``: with grouped relations of what :meth:`count` keeps, brought up to date first."""
+        now, dims = generated_at or datetime.datetime.now(datetime.timezone.utc).isoformat().replace("+00:00", "Z"), self.dims()
+        if counted:
+            self.count()
+            kept = {name: saved(df, name) for name, df in partials.ReportPartials(self.spark, self.path("partials")).tables().items()}
+            numbers = partials.counts(kept, dims["ip_enrichment"])
+            tables.json_document(report.document(self.messages(), dims, now, (numbers, partials.relations(kept, dims))), write)
+            for copy in kept.values():
+                drop(copy)
+            return
         m = saved(self.messages(), "messages")
-        tables.json_document(report.document(m, self.dims(), generated_at or datetime.datetime.now(datetime.timezone.utc).isoformat().replace("+00:00", "Z")), write)
+        tables.json_document(report.document(m, dims, now), write)
         drop(m)
 
     def sheets(self, folder: str) -> None:

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import columns as C
+from siftline.operators import scratch
 from siftline.operators.graph import numbered
 from siftline.operators.triage import triage
 from siftline.plans import enrichment as E
 from siftline.plans import messages as M
 from siftline.plans import relations as R
-from siftline.plans import report
-from siftline.queries import _WALLETS, DOMAINS, DUCK, DUCK_IPS, FREE, ip_table, messages, query, table
+from siftline.plans import partials, report
+from siftline.queries import _WALLETS, DOMAINS, DUCK, DUCK_IPS, FREE, SQL, ip_table, messages, query, table
 
 SAMPLES = "array_to_string(list(substr(subject, 1, 80) ORDER BY seq)[1:4], '; ') AS sample_subjects, array_to_string(list(id ORDER BY seq)[1:6], '; ') AS sample_ids"
 KINDS = (("phone", "phone", "phone_functional", 0), ("email", "email", "email_functional", 1), ("btc", "btc", "false", 2), ("image", "image", "false", 3), ("ip", "ip", "false", 4))
@@ -177,6 +178,46 @@ def kpi_report(spark, sf_dir):
     return report.kpis(messages(spark, sf_dir), dims(spark, sf_dir))
 
 
+# The same relations from partial counts of three batches, added one after the other and merged.
+
+
+def _batched(m: DataFrame, templates: bool = False) -> dict[str, DataFrame]:
+    kept = partials.ReportPartials(m.sparkSession, scratch.place(m.sparkSession, "partials"), templates)
+    for n in range(3):
+        kept.add(m.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == n), f"b{n}")
+    return kept.tables()
+
+
+def _by_batches(name: str, made, order: list[str], *hidden: str) -> None:
+    def run(spark, sf_dir):
+        return ranked(made(spark, sf_dir), order).drop(*hidden)
+
+    run.__name__ = f"{name}_by_batches"
+    query(SQL[name])(run)
+
+
+def _trends_by_batches(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    d = partials.trends(_batched(m.withColumn("month", M.month(F.col("date_iso"), F.col("date")))))
+    return d.withColumn("top_brands", F.array_join(F.transform("top_brands", lambda x: F.concat_ws(" ", x["brand"], x["count"].cast("string"))), ", "))
+
+
+def _fingerprints_by_batches(spark, sf_dir):
+    m, facts = stamped(spark, sf_dir)
+    return partials.fingerprints(_batched(m), facts)
+
+
+_by_batches("domain_report", lambda spark, sf: partials.domains(_batched(messages(spark, sf)), dims(spark, sf)["domain_enrichment"]), report.ORDERS["domains"])
+_by_batches("asn_report", lambda spark, sf: partials.asns(_batched(messages(spark, sf)), ip_table(spark, sf)), report.ORDERS["asns"])
+_by_batches("template_report", lambda spark, sf: partials.template_clusters(_batched(messages(spark, sf), True)), report.ORDERS["template_clusters"], "place")
+_by_batches("brand_report", lambda spark, sf: partials.brands(_batched(messages(spark, sf))), report.ORDERS["brands"])
+_by_batches("contact_report", lambda spark, sf: partials.contacts(_batched(messages(spark, sf)), "email"), report.ORDERS["contact_emails"])
+_by_batches("wallet_details", lambda spark, sf: partials.wallets(_batched(messages(spark, sf)), dims(spark, sf)["wallet_enrichment"]), report.ORDERS["wallets"])
+_by_batches("image_report", lambda spark, sf: partials.images(_batched(messages(spark, sf))), report.ORDERS["images"])
+_by_batches("fingerprint_report", _fingerprints_by_batches, report.ORDERS["fingerprints"])
+_by_batches("trend_report", _trends_by_batches, report.ORDERS["trends"], "place")
+
+
 _AGES = """SELECT doc_id AS seq, CASE doc_id % 3 WHEN 0 THEN 'evil.top' WHEN 1 THEN 'mail.evil.top' ELSE 'a.gov.br' END AS from_domain, CASE doc_id % 5 WHEN 0 THEN 'mail.yahoo.com' WHEN 1 THEN 'x.evil.top' ELSE '' END AS reply_domain,
 'none' AS dmarc, '' AS spf, '' AS dkim, 'hello' AS subject, CASE WHEN doc_id % 7 = 0 THEN 'please act now or now' WHEN doc_id % 7 = 1 THEN 'it''s suspended' ELSE 'nothing' END AS body, CASE doc_id % 11 WHEN 0 THEN 'Bank holiday of North America' WHEN 1 THEN 'Aflac for AARP' ELSE '' END AS display_name,
 CASE WHEN doc_id % 2 = 0 THEN cast(doc_id % 13 * 30 AS int) END AS age, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN cast(doc_id % 13 * 30 AS int) WHEN doc_id % 4 < 2 THEN cast(doc_id % 17 * 25 AS int) END AS root_age, 0 AS n_mismatch, 0 AS n_wallets, false AS list_unsubscribe, doc_id FROM {documents}"""

@@ -69,6 +69,13 @@ def free_name(exists, base: str, suffix: str, first: int) -> str:
     return name
 
 
+def batches(spark: SparkSession, table: str) -> list[tuple[int, int]]:
+    """``(run, batch)`` of the finished batches of a message table, in order."""
+    fs, pattern = _at(spark, f"{table}/run=*/batch=*/_SUCCESS")
+    found = [x.getPath().getParent() for x in fs.globStatus(pattern) or []]
+    return sorted((int(p.getParent().getName()[4:]), int(p.getName()[6:])) for p in found)
+
+
 def archive(spark: SparkSession, paths: list[str], root: str, scanned: str, day: str) -> list[str]:
     """Move files of ``root`` to the same place below ``scanned/day``; a taken name gets ``_1``, ``_2`` and so on."""
     moved = []

@@ -44,8 +44,10 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
-def read_messages(spark: SparkSession, table: str) -> DataFrame:
-    """The message table with ``seq``; empty if there is none."""
+def read_messages(spark: SparkSession, table: str, run: int | None = None, batch: int | None = None) -> DataFrame:
+    """The message table with ``seq``, or one batch of a writer; empty if there is none."""
+    if run is not None:
+        return spark.read.schema(SCHEMA).parquet(f"{table}/run={run}/batch={batch}")
     return _read(spark, table, SCHEMA).drop(*_PLACE)
 
 

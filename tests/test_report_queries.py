@@ -27,4 +27,4 @@ def test_report_query_matches_sql(spark, duck, name):
 
 
 def test_there_are_some():
-    assert len(NAMES) == 19
+    assert len(NAMES) == 28

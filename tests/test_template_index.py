@@ -94,8 +94,8 @@ def test_a_failed_batch_leaves_no_trace(spark, tmp_path):
     index.add(spark.createDataFrame(rows([(1, 3), (2, 1)]), KIND), "key")
     before = got(index)
     broken = TemplateIndex(spark, f"{tmp_path}/f", shards=2)
-    broken._fs = None
-    broken._marks = index._marks
+    broken._tables.marks = index._tables.marks
+    broken._tables._fs = None
     with pytest.raises(AttributeError):
         broken.add(spark.createDataFrame(rows([(3, 2), (4, 7)]), KIND), "key")
     assert got(index) == before == [(1, 1, 2), (2, 1, 2)]
