@@ -26,6 +26,23 @@ def page(df: DataFrame, filters: dict[str, str] | None = None, search: str = "",
     return (df.orderBy(*order) if order else df).offset(number * size).limit(size)
 
 
+def by_locale(df: DataFrame, column: str, down: bool = False) -> Column:
+    """The order of a column as a reader expects it: numbers by value, other values as text by the rules of Unicode.
+
+    So letters with accents stand by those without, and small ones before the
+    same large ones.  A null counts as empty text, first of all; lists count as
+    their items joined by commas.
+    """
+    kind = dict(df.dtypes)[column]
+    c = F.col(f"`{column}`")
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        key = c
+    else:
+        text = F.array_join(c.cast("array<string>"), ",", "") if kind.startswith("array") else c.cast("string")
+        key = F.collate(F.coalesce(text, F.lit("")), "UNICODE")
+    return key.desc() if down else key.asc()
+
+
 def mark_reported(df: DataFrame, log: DataFrame, column: str) -> DataFrame:
     """Adds ``reported`` and the number of ``actions`` whose ``target`` is the row's value."""
     n = log.groupBy("target").agg(F.count(F.lit(1)).alias("actions"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from siftline import rules
 from siftline.functions import columns as C
-from siftline.operators import scratch, tableview, templates
+from siftline.operators import pages, scratch, tableview, templates
+from siftline.operators.graph import numbered
 from siftline.operators.template_index import TemplateIndex
 from siftline.operators.triage import triage
 from siftline.plans import enrichment as E
@@ -274,6 +275,22 @@ def table_page(spark, sf_dir):
     return tableview.page(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), filters={"event_type": "click"}, search="li", order=[F.desc("value"), F.col("event_id")], number=1, size=50)
 
 
+@query("SELECT event_id, event_type, value FROM events ORDER BY value DESC NULLS LAST, event_id LIMIT 50 OFFSET 5000")
+def sorted_page(spark, sf_dir):
+    """A page deep in all events, from a sorted copy of them."""
+    folder = scratch.place(spark, "sorted")
+    pages.write(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), [F.desc("value"), F.col("event_id")], folder, parts=32)
+    return pages.page(spark, folder, 100, 50)
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN lower(c_name) WHEN 1 THEN upper(c_name) ELSE c_name END AS name, c_nationkey, row_number() OVER (ORDER BY CASE WHEN c_custkey % 7 = 0 THEN '' ELSE lower(left(c_name, 10 + c_custkey % 9)) END, c_nationkey DESC, c_custkey) AS place FROM customer")
+def names_by_locale(spark, sf_dir):
+    """All customers by the letters of names in mixed case, some cut or missing, then by number."""
+    cut = F.expr("CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE lower(left(c_name, int(10 + c_custkey % 9))) END")
+    d = table(spark, sf_dir, "customer").select("c_custkey", F.expr("CASE c_custkey % 3 WHEN 0 THEN lower(c_name) WHEN 1 THEN upper(c_name) ELSE c_name END").alias("name"), "c_nationkey", cut.alias("key"))
+    return numbered(d, [tableview.by_locale(d, "key"), tableview.by_locale(d, "c_nationkey", down=True), F.col("c_custkey")], "place", 1).drop("key")
+
+
 @query(DUCK + "SELECT m.seq, a.target IS NOT NULL AS reported, coalesce(a.n, 0) AS actions FROM m LEFT JOIN (SELECT DISTINCT 'src' || cast(s_suppkey % 10 AS string) || '.example.com' AS target, 1::BIGINT AS n FROM supplier) a ON replace(m.from_domain, '.', '[.]') = replace(a.target, '.', '[.]')")
 def reported_senders(spark, sf_dir):
     log = table(spark, sf_dir, "supplier").select(F.concat(F.lit("src"), (F.col("s_suppkey") % 10).cast("string"), F.lit(".example.com")).alias("target")).distinct()
