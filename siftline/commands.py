@@ -16,6 +16,10 @@ from siftline.plans.store import Store, publish, self_addresses
 from siftline.sources import explorers, tables
 
 
+#: The function that is asked about a domain unless another is named.
+WHOIS = "siftline.sources.whois:record"
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="siftline", description=__doc__.partition("\n")[0])
     p.add_argument("store", help="folder of the tables")
@@ -37,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     c = command("domains", "look up sender domains of two messages or more", "--all", "--refill-missing")
     c.add_argument("--limit", type=int, default=0)
     c.add_argument("--delay", type=float, default=8)
-    c.add_argument("--whois", required=True, help="module:function")
+    c.add_argument("--whois", default=WHOIS, help="module:function")
     c = command("wallets", "look up wallets and their transactions", "--recheck")
     c.add_argument("--limit", type=int, default=0)
     c.add_argument("--delay", type=float, default=2)
@@ -56,9 +60,16 @@ def parser() -> argparse.ArgumentParser:
     c = command("publish", "ingest, look up and report", "--skip-ingest", "--skip-lookups")
     c.add_argument("root")
     c.add_argument("out")
+    c.add_argument("--whois", default=WHOIS, help="module:function")
+    c.add_argument("--sheets", help="write the sheets there, too")
     return p
 
 
+def _domains(whois: str):
+    module, _, name = whois.partition(":")
+    return explorers.domain_client(getattr(import_module(module), name))
+
+
 def main(argv: list[str], spark: SparkSession) -> object:
     """Run one command; returns what it has to say."""
     a = parser().parse_args(argv)
@@ -69,8 +80,7 @@ def main(argv: list[str], spark: SparkSession) -> object:
     if a.command == "ips":
         return store.look_up_ips(explorers.ip_client(), today, a.recheck, a.limit, a.delay)
     if a.command == "domains":
-        module, _, name = a.whois.partition(":")
-        return store.look_up_domains(explorers.domain_client(getattr(import_module(module), name)), 1 if a.all else 2, a.limit, a.refill_missing, a.delay)
+        return store.look_up_domains(_domains(a.whois), 1 if a.all else 2, a.limit, a.refill_missing, a.delay)
     if a.command == "wallets":
         return store.look_up_wallets(explorers.wallet_client(), today, a.recheck, a.limit, a.delay)
     if a.command in ("log-action", "mark-triage"):
@@ -86,7 +96,7 @@ def main(argv: list[str], spark: SparkSession) -> object:
         with open(a.out, "w", encoding="utf-8") as f:
             return store.document(f.write)
     skip = ("ingest",) * a.skip_ingest + ("ips", "domains", "wallets") * a.skip_lookups
-    return publish(store, a.root, a.out, {"ips": explorers.ip_client(), "wallets": explorers.wallet_client()}, today, skip)
+    return publish(store, a.root, a.out, {"ips": explorers.ip_client(), "domains": _domains(a.whois), "wallets": explorers.wallet_client()}, today, skip, a.sheets)
 
 
 if __name__ == "__main__":

@@ -133,7 +133,7 @@ def domain_rows(answers: DataFrame) -> DataFrame:
     return a.select("domain", first_of(F.col("creation_date")).alias("registered_date"), first_of(F.col("registrar")).alias("registrar"), nameserver_list(F.col("name_servers")).alias("nameservers"), first_of(F.col("org")).alias("registrant_org"), first_of(F.col("country")).alias("registrant_country"), F.lit("").alias("notes"))
 
 
-def failed_domains(answers: DataFrame, final: tuple[str, ...] = ("PywhoisError",)) -> DataFrame:
+def failed_domains(answers: DataFrame, final: tuple[str, ...] = ("PywhoisError", "NoMatch")) -> DataFrame:
     """Rows of domains about which the service can say nothing; other errors give none."""
     said = reduce(lambda a, b: a | b, [F.col("error").startswith(x) for x in final], F.lit(False))
     blank = [F.lit("").alias(c) for c in ("registered_date", "registrar", "nameservers", "registrant_org", "registrant_country")]

@@ -161,8 +161,8 @@ class Store:
         drop(m)
 
 
-def publish(store: Store, root: str, out: str, clients: dict[str, Callable], today: str, skip: tuple[str, ...] = ()) -> dict[str, str]:
-    """All steps in order: ingest, the three lookups, which may fail, and the document, written to the file ``out``.
+def publish(store: Store, root: str, out: str, clients: dict[str, Callable], today: str, skip: tuple[str, ...] = (), sheets: str | None = None) -> dict[str, str]:
+    """All steps in order: ingest, the three lookups, which may fail, the document, written to the file ``out``, and the sheets, if a folder is given.
 
     ``clients``: by ``ips``, ``domains`` and ``wallets``; a lookup without one is skipped.
     """
@@ -176,5 +176,7 @@ def publish(store: Store, root: str, out: str, clients: dict[str, Callable], tod
         "ingest": lambda: store.ingest(root), "ips": lambda: store.look_up_ips(clients["ips"], today), "domains": lambda: store.look_up_domains(clients["domains"]),
         "wallets": lambda: store.look_up_wallets(clients["wallets"], today), "report": write,
     }
+    if sheets:
+        steps["sheets"] = lambda: store.sheets(sheets)
     absent = tuple(x for x in ("ips", "domains", "wallets") if x not in clients)
     return report.run_steps(steps, (*skip, *absent), ("ips", "domains", "wallets"))

@@ -19,11 +19,13 @@ def test_commands(spark, tmp_path):
     run("log-action", "report", "domain", "x.example", "--date", "2024-01-02")
     run("mark-triage", "abc", "--notes", "n")
     assert [(r["target"], r["status"]) for r in run("log-action", "--list")] == [("x.example", "submitted")] and run("mark-triage", "--list")[0]["notes"] == "n"
-    assert run("publish", str(tmp_path / "in"), str(tmp_path / "out.json"), "--skip-ingest", "--skip-lookups") == {"ingest": "skipped", "ips": "skipped", "domains": "skipped", "wallets": "skipped", "report": "done"}
+    assert run("publish", str(tmp_path / "in"), str(tmp_path / "out.json"), "--skip-ingest", "--skip-lookups", "--sheets", f"file://{tmp_path}/sheets") == {"ingest": "skipped", "ips": "skipped", "domains": "skipped", "wallets": "skipped", "report": "done", "sheets": "done"}
+    assert len([p for p in (tmp_path / "sheets").iterdir() if p.is_dir()]) == 19
     doc = json.loads((tmp_path / "out.json").read_text())
     assert doc["message_total"] == 1 and doc["actions"][0]["target"] == "x[.]example" and len(doc["triage_queue"]) == 1
+    assert parser().parse_args([store, "domains"]).whois == parser().parse_args([store, "publish", "a", "b"]).whois == "siftline.sources.whois:record"
     with pytest.raises(SystemExit):
-        parser().parse_args([store, "domains"])
+        parser().parse_args([store, "publish"])
 
 
 def test_frames(spark):
