@@ -54,7 +54,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("id", nargs="?", default="")
     c.add_argument("status", nargs="?", default="reviewed")
     c.add_argument("--notes", default="")
-    c = command("report", "write the JSON document or the sheets")
+    c = command("report", "write the JSON document, the sheets or the workbook", "--workbook")
     c.add_argument("out")
     c.add_argument("--sheets", action="store_true", help="a folder of one CSV table a sheet")
     c = command("publish", "ingest, look up and report", "--skip-ingest", "--skip-lookups")
@@ -92,6 +92,9 @@ def main(argv: list[str], spark: SparkSession) -> object:
         return tables.log_action(spark, store.path(name), a.action, a.target_type, a.target, a.reference, a.status, a.notes, a.date)
     if a.command == "report" and a.sheets:
         return store.sheets(a.out)
+    if a.command == "report" and a.workbook:
+        with open(a.out, "wb") as f:
+            return store.workbook(f)
     if a.command == "report":
         with open(a.out, "w", encoding="utf-8") as f:
             return store.document(f.write)

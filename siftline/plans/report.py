@@ -7,7 +7,7 @@ show.  A column that is missing is an error, never an empty relation.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -341,6 +341,18 @@ def write_sheets(m: DataFrame, dims: dict[str, DataFrame], write: Callable[[str,
         write(name, tables.flat((df.orderBy(*keys) if keys else df).select(*SHEETS[name])))
 
 
+def sheet_rows(m: DataFrame, dims: dict[str, DataFrame]) -> Iterator[tuple[str, list[str], Iterator[tuple]]]:
+    """Each sheet with its columns and rows, for :func:`siftline.sources.workbook.write`: whole numbers, and text; a partition at a time comes to the driver."""
+    for name, (df, order) in sheets(m, dims).items():
+        keys = [F.desc(c[1:]) if c.startswith("-") else F.col(c) for c in order]
+        d = (df.orderBy(*keys) if keys else df).select(*SHEETS[name])
+        numbers = [c for c, kind in d.dtypes if kind in ("int", "bigint")]
+        text = d.select(*[c for c in d.columns if c not in numbers])
+        shown = tables.flat_columns(text)
+        rows = d.select(*[F.col(f"`{c}`") if c in numbers else shown[c] for c in d.columns])
+        yield name, SHEETS[name], (tuple(r) for r in rows.toLocalIterator())
+
+
 def kpis(m: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """One row of headline numbers."""
     n = F.count(F.lit(1))

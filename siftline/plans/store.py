@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime
 import os
 from collections.abc import Callable
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from siftline.operators.scratch import drop, saved
 from siftline.plans import enrichment as E
 from siftline.plans import messages as M
 from siftline.plans import partials, report
-from siftline.sources import files, tables
+from siftline.sources import files, tables, workbook
 from siftline.streaming import ingest
 
 DIMENSIONS = ("domain_enrichment", "ip_enrichment", "wallet_enrichment", "wallet_transactions")
@@ -160,6 +161,13 @@ class Store:
         report.write_sheets(m, self.dims(), lambda name, df: tables.write_csv(df, f"{folder.rstrip('/')}/{name}"))
         drop(m)
 
+    def workbook(self, out: BinaryIO) -> list[str]:
+        """The sheets as one workbook file, written row by row; returns their names."""
+        m = saved(self.messages(), "messages")
+        names = workbook.write(report.sheet_rows(m, self.dims()), out)
+        drop(m)
+        return names
+
 
 def publish(store: Store, root: str, out: str, clients: dict[str, Callable], today: str, skip: tuple[str, ...] = (), sheets: str | None = None) -> dict[str, str]:
     """All steps in order: ingest, the three lookups, which may fail, the document, written to the file ``out``, and the sheets, if a folder is given.

@@ -11,7 +11,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import columns as C
@@ -62,13 +62,19 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def flat(df: DataFrame) -> DataFrame:
-    def text(c: str, kind: str):
+    return df.select(*flat_columns(df).values())
+
+
+def flat_columns(df: DataFrame) -> dict[str, Column]:
+    """Each column as text: arrays joined by ``"; "``, booleans as ``True`` or ``False``, null as blank."""
+
+    def text(c: str, kind: str) -> Column:
         x = F.col(f"`{c}`")
         if kind.startswith("array<string"):
             return F.array_join(x, "; ")
         return F.when(x, "True").when(~x, "False") if kind == "boolean" else x.cast("string")
 
-    return df.select(*[F.coalesce(text(c, kind), F.lit("")).alias(c) for c, kind in df.dtypes])
+    return {c: F.coalesce(text(c, kind), F.lit("")).alias(c) for c, kind in df.dtypes}
 
 
 def lists(df: DataFrame, columns: list[str]) -> DataFrame:
