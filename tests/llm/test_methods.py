@@ -296,3 +296,19 @@ def test_later_stages(spark):
     assert mixed.columns == one.columns
     packed = stages["packing"](spark, mixed, sf)
     assert packed.agg(F.sum("length")).first()[0] == packed.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_bitmap_of_repeated_anchors_grows_with_them(spark):
+    import pyarrow as pa
+
+    from siftline.llm import winnow
+
+    rng = np.random.default_rng(5)
+    twice, once = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (60_000, 120_000))
+    slices = [winnow.dealt_places(x) for x in (np.r_[twice, once[:60_000]], np.r_[once[60_000:], twice[::-1]], np.zeros(0, np.uint64))]
+    rows = spark.createDataFrame(pa.Table.from_batches(slices))
+    for low, size in ((12, 20), (22, 22)):
+        bitmap = winnow.repeated_bitmap(rows, min_bits=low, max_bits=24, room=8)
+        assert winnow.passes(bitmap, twice).all() and winnow.passes(bitmap, once).mean() < 0.12
+        assert (1 << low) <= 8 * len(bitmap) <= 1 << max(size, 20)
+    assert not winnow.repeated_bitmap(rows.limit(0)).any()
