@@ -19,7 +19,7 @@ an empty result; other columns pass through whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,19 +45,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return s.select("source", "source_size", F.least(F.col("cap"), top * F.col("w")).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
-    """Copies that a mixture takes of each document.
-
-    ``share`` is the mixture's size over the size of all; ``most`` the largest
-    target over a source's size.  Returns ``doc_id, source, size, source_size,
-    target, copies, taken``; with ``carry`` also a struct ``row`` of all input
-    columns, for :func:`emit`.
-    """
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """``(doc_id, source, size, t, ...)`` as a copy: the range partitioner reads its input twice, and words are counted once."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.col(text_col)).alias("t"), *([F.struct("*").alias("row")] if carry else []))
-    d = d.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    if not carry:
-        d = materialise(d, "sizes")  # the range partitioner reads its input twice: words are counted once
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.col(text_col)).alias("t"), *more)
+    return materialise(d.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), "sizes")
+
+
+def _copies(d: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: str, *more: str) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, copies, taken, ...)`` of the rows that :func:`_sized` returns; they hold no texts."""
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("h"), F.col("doc_id"), F.col("t")]
     d = materialise(d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("i", F.monotonically_increasing_id()), "mix")
     part = F.shiftright("i", 33)
@@ -72,13 +68,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     at = (F.col("ahead") + F.col("i") - F.col("first")).cast("double")
     copies = (F.floor((at + 1) * each + u) - F.floor(at * each + u)).cast("long")
-    return d.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if carry else []))
+    return d.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *more)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Copies that a mixture takes of each document.
+
+    ``share`` is the mixture's size over the size of all; ``most`` the largest
+    target over a source's size.  Returns ``doc_id, source, size, source_size,
+    target, copies, taken``.
+    """
+    return _copies(_sized(docs, id_col, text_col, source_col), weights, share, most, seed)
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: every row of ``docs`` as many times as it is taken, with the columns of ``docs``."""
-    m = mix(docs, carry=True, **options)
-    return m.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+def emit(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mixture itself: every row of ``docs`` as many times as it is taken, with the columns of ``docs``.
+
+    Rows are numbered in a copy and ordered without their texts: in the order of
+    size, the longest texts of a source would all stand in one range.  The number
+    of copies is then joined to the texts, which are dealt evenly and not sorted.
+    """
+    d = _sized(docs, id_col, text_col, source_col, F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at"))
+    taken = _copies(d.drop("row"), weights, share, most, seed, "at").where("copies > 0").select("at", F.col("copies").cast("int").alias("copies"))
+    m = d.select("at", "row").join(taken.hint("shuffle_hash"), "at")
+    return m.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 #: The same mixture in DuckDB SQL.
