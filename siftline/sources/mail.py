@@ -48,15 +48,15 @@ class _Rows:
     schema = to_arrow_schema(PARSED)
     blank = {f.name: None for f in PARSED.fields}
 
-    def __init__(self, headers_only: bool = False):
-        self.headers_only = headers_only
+    def __init__(self, headers_only: bool = False, as_shown: bool = False):
+        self.headers_only, self.as_shown = headers_only, as_shown
         self.rows: list[dict] = []
         self.held = 0
 
     def add(self, path: str, source: str, position: int, raw: bytes) -> Iterator[pa.RecordBatch]:
         row = self.blank | {"path": path, "source": source, "position": position}
         try:
-            row |= parsing.parse(raw, self.headers_only)
+            row |= parsing.parse(raw, self.headers_only, self.as_shown)
         except Exception as e:  # noqa: BLE001  the row says what went wrong
             row["error"] = f"{type(e).__name__}: {e}"
         self.rows.append({k: v.encode("utf-8", "replace").decode() if isinstance(v, str) else v for k, v in row.items()})
@@ -70,11 +70,11 @@ class _Rows:
             self.rows, self.held = [], 0
 
 
-def parse_files(files: DataFrame, root: str, headers_only: bool = False) -> DataFrame:
-    """One row per message of whole files ``(path, content)``; if only headers are asked for, what comes from bodies is null."""
+def parse_files(files: DataFrame, root: str, headers_only: bool = False, as_shown: bool = False) -> DataFrame:
+    """One row per message of whole files ``(path, content)``; if only headers are asked for, what comes from bodies is null; ``as_shown`` is that of :func:`siftline.functions.parsing.parse`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Rows(headers_only)
+        out = _Rows(headers_only, as_shown)
         for b in batches:
             for i in range(b.num_rows):
                 path, source, content = (b.column(k)[i].as_py() for k in range(3))
